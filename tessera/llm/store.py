@@ -1,0 +1,46 @@
+"""Lineage cuts that survive the loss of an executor.
+
+Intermediate tables go to the folder that all machines share, named by
+``spark.checkpoint.dir``. Only where that setting is missing (tests, a laptop)
+is a temporary folder made, and then only for a local master.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder; set to a temporary one on a local master that has none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            return known.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(folder)
+    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read back from reliable checkpoint files."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again.
+
+    Unlike a checkpoint it is columnar and compressed, so later passes read
+    only the columns they name.
+    """
+    path = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
