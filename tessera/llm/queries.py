@@ -4,17 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import oracle, pii
+from tessera.llm import decontaminate, oracle, pii
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_pii": op6_pii}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op6_pii": op6_pii,
+}
 
-ORACLE = {"op6_pii": oracle.PII}
+ORACLE = {
+    "op1_decontaminate": oracle.DECONTAMINATE,
+    "op6_pii": oracle.PII,
+}
