@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, oracle, pii
+from tessera.llm import decontaminate, oracle, pii, shard
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,9 +19,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.digest(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op6_pii": op6_pii,
+    "op10_shard": op10_shard,
 }
 
 ORACLE = {
