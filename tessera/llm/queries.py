@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, oracle, pii, shard
+from tessera.llm import classify, decontaminate, oracle, pii, shard
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = classify.train_quality(docs, read(spark, sf_dir, "labels"))
+    return classify.digest(classify.quality(docs.select("doc_id", "text"), model), classify.KEEP_AT)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model, thresholds = classify.train_toxicity(docs, read(spark, sf_dir, "labels"))
+    found = classify.toxicity(docs.select("doc_id", "text", "lang"), model, thresholds)
+    return classify.digest(found, classify.TOXIC_AT, "threshold", "flagged")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
@@ -25,6 +38,8 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
+    "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op10_shard": op10_shard,
 }
