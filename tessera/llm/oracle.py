@@ -77,3 +77,33 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+# --- secrets -------------------------------------------------------------------
+
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+SECRETS = f"""
+WITH raw AS ({" UNION ALL ".join([
+    placed("assign", 1, _ASSIGN),
+    placed("access", 2, "AKIA[A-Z0-9]+"),
+    placed("hex", 3, "[0-9a-f]+"),
+    placed("opaque", 4, "[A-Za-z0-9_-]+"),
+])}),
+valued AS (SELECT *, CASE WHEN kind = 'assign' THEN regexp_extract(hit, $re${_ASSIGN}$re$, 1) ELSE hit END AS v FROM raw),
+good AS (
+    SELECT * FROM valued WHERE CASE kind WHEN 'assign' THEN length(v) >= 6 WHEN 'access' THEN length(v) >= 20 WHEN 'hex' THEN length(v) >= 24
+        ELSE length(v) >= 32 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') END),
+live AS (SELECT v FROM good JOIN documents USING (doc_id) GROUP BY v HAVING count(DISTINCT source) <= 2),
+every AS (
+    SELECT doc_id, kind, rank, s, e FROM good WHERE rank <= 3 OR v IN (SELECT v FROM live)
+    UNION ALL SELECT DISTINCT doc_id, 'live', 5, e - length(v), e FROM good WHERE v IN (SELECT v FROM live)),
+line AS (SELECT *, kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR) AS part FROM every),
+by_doc AS (
+    SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+           count(*) FILTER (kind = 'hex') AS n_hex, string_agg(part, ',' ORDER BY s, rank) FILTER (rank <= 3) AS base,
+           string_agg(part, ',' ORDER BY s, rank, e) AS spans
+    FROM line GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN by_doc USING (doc_id)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import classify, decontaminate, oracle, pii, shard
+from tessera.llm import classify, decontaminate, oracle, pii, secrets, shard
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.digest(classify.quality(docs.select("doc_id", "text"), model), classify.KEEP_AT)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model, thresholds = classify.train_toxicity(docs, read(spark, sf_dir, "labels"))
@@ -39,6 +43,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
+    "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
     "op10_shard": op10_shard,
@@ -46,5 +51,6 @@ QUERIES = {
 
 ORACLE = {
     "op1_decontaminate": oracle.DECONTAMINATE,
+    "op4_secrets": oracle.SECRETS,
     "op6_pii": oracle.PII,
 }
