@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import classify, decontaminate, oracle, pii, secrets, shard, simhash
+from tessera.llm import classify, decontaminate, oracle, pack, pii, secrets, shard, simhash
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.digest(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
+    "op7_pack": op7_pack,
     "op8_simhash": op8_simhash,
     "op10_shard": op10_shard,
 }
