@@ -9,6 +9,7 @@ the number of rounds grows with the logarithm of a component's width.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,19 @@ from tessera.llm.store import cut, table
 MOST_ROUNDS = 100
 
 
+def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (the least place reached, for each place) after linking places a and b; in one task's memory."""
+    while True:  # hook the larger root to the smaller, then flatten
+        ra, rb = label[a], label[b]
+        apart = ra != rb
+        if not apart.any():
+            return label
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """One step over rows (u, v)."""
     if small:

@@ -107,3 +107,18 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents d LEFT JOIN by_doc USING (doc_id)
 """
+
+# --- embeddings ----------------------------------------------------------------
+
+VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+      AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+edges AS MATERIALIZED (SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(u, w) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, g.w FROM reach r JOIN edges g ON r.w = g.u),
+label AS (SELECT u AS vec_id, min(w) AS component_id FROM reach GROUP BY u),
+links AS (SELECT u AS vec_id, count(*) AS n FROM edges GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN label USING (vec_id) LEFT JOIN links USING (vec_id)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import classify, decontaminate, oracle, pack, pii, secrets, shard, simhash
+from tessera.llm import classify, decontaminate, oracle, pack, pii, secrets, shard, simhash, vectors
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(read(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.digest(read(spark, sf_dir, "embeddings"))
+
+
 def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.digest(read(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_pack": op7_pack,
     "op8_simhash": op8_simhash,
+    "op9_embeddings": op9_embeddings,
     "op10_shard": op10_shard,
 }
 
@@ -63,4 +68,5 @@ ORACLE = {
     "op1_decontaminate": oracle.DECONTAMINATE,
     "op4_secrets": oracle.SECRETS,
     "op6_pii": oracle.PII,
+    "op9_embeddings": oracle.VECTORS,
 }

@@ -126,15 +126,7 @@ def forest_links(x: np.ndarray, group: np.ndarray, radius: int, step: int = 20_0
     label = np.arange(len(x))
     for at in range(0, len(x), step):
         for a, b in trees.search(np.arange(at, min(at + step, len(x))), radius):
-            while True:  # hook the larger root to the smaller, then flatten
-                ra, rb = label[a], label[b]
-                open_ = ra != rb
-                if not open_.any():
-                    break
-                a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
-                np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
-                while (label[label] != label).any():
-                    label = label[label]
+            label = graph.hook(label, a, b)
     linked = np.flatnonzero(label != np.arange(len(x)))
     return linked, label[linked]
 
