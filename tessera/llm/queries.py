@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import classify, decontaminate, oracle, pack, pii, secrets, shard, simhash, vectors
+from tessera.llm import classify, decontaminate, oracle, pack, pii, secrets, shard, simhash, substrings, vectors
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.digest(classify.quality(docs.select("doc_id", "text"), model), classify.KEEP_AT)
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(read(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
+    "op3_substrings": op3_substrings,
     "op4_secrets": op4_secrets,
     "op5_toxicity": op5_toxicity,
     "op6_pii": op6_pii,
@@ -66,6 +71,7 @@ QUERIES = {
 
 ORACLE = {
     "op1_decontaminate": oracle.DECONTAMINATE,
+    "op3_substrings": oracle.SUBSTRINGS,
     "op4_secrets": oracle.SECRETS,
     "op6_pii": oracle.PII,
     "op9_embeddings": oracle.VECTORS,
