@@ -41,7 +41,7 @@ from tessera.llm.store import table
 
 WINDOW = 2048
 END_ID = 1
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 512
 FEW = 100_000  # cut rows whose keys may be broadcast
 
 
