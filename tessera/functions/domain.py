@@ -10,6 +10,7 @@ import pandas as pd
 import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Roots under which many unrelated projects are hosted.
 GENERIC_HOSTS = ["github.io", "vercel.app", "notion.site", "herokuapp.com", "netlify.app"]
@@ -76,7 +77,7 @@ def normalize_domain(url: Column, rules: frozenset[str] | None = None) -> Column
     """
     listed = rules or suffix_rules()
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def find(hosts: pd.Series) -> pd.Series:
         known = {h: registrable(h, listed) for h in hosts.dropna().unique()}
         return hosts.map(known)

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, LongType
 
 DIMENSIONS = 384
 M32 = 0xFFFFFFFF
@@ -29,13 +30,13 @@ def unit_vectors(seeds: np.ndarray, n: int = DIMENSIONS) -> np.ndarray:
     return np.divide(x, norm, out=x, where=norm > 0)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def deterministic(texts: pd.Series) -> pd.Series:
     seeds = np.array([fnv1a(t or "") for t in texts], np.uint32)
     return pd.Series(list(unit_vectors(seeds).astype(np.float32)))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fnv(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fnv1a(t)).astype("Int64")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 PREFIX, SCALE = 4, 0.1
 
@@ -42,7 +43,7 @@ def winkler(a: str, b: str) -> float:
     return base + same * SCALE * (1 - base)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Arrow batches; Spark has no such function of its own."""
     return pd.Series([None if x is None or y is None else winkler(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -118,7 +118,7 @@ def ranked_text(deals: DataFrame, companies: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "company_id"))
     rows = deals.join(names, "company_id", "left").withColumn("rank", rank)
     flags = F.when(F.size("flags") > 0, F.concat(F.lit(" ["), F.array_join("flags", ", "), F.lit("]"))).otherwise("")
-    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.coalesce("canonical_name", "company_id"), F.lit(" — score "), F.format_string("%.1f", F.col("score")), flags)
+    line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.coalesce("canonical_name", F.col("company_id").cast("string")), F.lit(" — score "), F.format_string("%.1f", F.col("score")), flags)
     return rows.select("rank", line.alias("line"), "rationale").orderBy("rank")
 
 
