@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import classify, decontaminate, pack, secrets, simhash
-from tessera.llm.store import table
+from tessera.store import table
 
 
 def counted(docs: DataFrame) -> DataFrame:

@@ -209,7 +209,10 @@ def merge_spans(df: DataFrame, text: str) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` whose texts have lost all hit spans; other columns as they were."""
-    found = scan(docs, benchmark, text=text, **options)
+    added = [f.name for f in FIELDS]
+    # columns that happen to have the name of an added one step aside
+    aside = {c: f"_own_{c}" for c in docs.columns if c in added}
+    found = scan(docs.withColumnsRenamed(aside), benchmark, text=text, **options)
 
     def work(block: pa.RecordBatch) -> dict:
         texts = block.column(text).to_pylist()
@@ -219,8 +222,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
                 texts[i] = "".join(texts[i][a:b] for a, b in zip(at[::2], at[1::2]))
         return {text: pa.array(texts, pa.string())}
 
-    extra = tuple(f.name for f in FIELDS)
-    return map_blocks(found, text, work, [StructField(text, StringType())], drop=extra).select(*docs.columns)
+    cleaned = map_blocks(found, text, work, [StructField(text, StringType())], drop=tuple(added))
+    return cleaned.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from tessera.llm import words
-from tessera.llm.store import table
+from tessera.store import table
 
 WINDOW = 2048
 END_ID = 1

@@ -24,7 +24,7 @@ from pyspark.sql.types import StringType, StructField
 
 from tessera.llm.blocks import map_blocks
 from tessera.llm.spans import find, joined
-from tessera.llm.store import table
+from tessera.store import table
 
 # Fixed forms: assign, access and hex are
 #   (password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+), AKIA[A-Z0-9]+, [0-9a-f]+

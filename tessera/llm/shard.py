@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.store import table
+from tessera.store import table
 
 SHARDS = 8
 SPLIT_SHARE = 1 / 32

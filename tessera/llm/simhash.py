@@ -32,9 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
-from tessera.llm import graph, words
+from tessera.llm import words
 from tessera.llm.blocks import map_blocks
-from tessera.llm.store import table
+from tessera.operators import graph
+from tessera.store import table
 
 WIDTH, RADIUS, SEED = 3, 3, 42
 MOST = 512  # fingerprints of one tree

@@ -38,7 +38,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from tessera.llm import words
 from tessera.llm.blocks import map_blocks
 from tessera.llm.fmindex import FMIndex
-from tessera.llm.store import table
+from tessera.store import table
 
 WINDOW = 20
 GRAM = 8

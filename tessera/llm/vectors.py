@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import graph
-from tessera.llm.store import table
+from tessera.operators import graph
+from tessera.store import table
 
 THRESHOLD = 0.95
 TREES = 8
