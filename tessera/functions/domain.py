@@ -80,7 +80,7 @@ def normalize_domain(url: Column, rules: frozenset[str] | None = None) -> Column
     @F.pandas_udf(StringType())
     def find(hosts: pd.Series) -> pd.Series:
         known = {h: registrable(h, listed) for h in hosts.dropna().unique()}
-        return hosts.map(known)
+        return pd.Series([known.get(h) for h in hosts], dtype=object)
 
     bare = F.regexp_replace(host(url), r"^www\.", "")
     return find(F.when(~generic(bare), bare))
