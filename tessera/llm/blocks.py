@@ -6,12 +6,23 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
 from tessera.llm import words
 
 
+#: of Arrow batches between the JVM and Python; by rows alone, a batch of long texts is large on both sides
+BATCH_BYTES = "4m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes in this session, where nobody has set a bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def map_blocks(
     docs: DataFrame,
     text: str,
@@ -25,6 +36,7 @@ def map_blocks(
     ``work`` gets a record batch with at most ``most`` bytes in the ``text``
     column (or a single row). Its columns replace columns of the same name.
     """
+    small_batches(docs.sparkSession)
     new = {f.name for f in fields}
     keep = [f.name for f in docs.schema if f.name not in new and f.name not in drop]
     schema = StructType([docs.schema[c] for c in keep] + fields)

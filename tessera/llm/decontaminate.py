@@ -24,6 +24,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
@@ -107,7 +108,8 @@ def occurrences(known: np.ndarray, doc: np.ndarray, windows: Windows) -> tuple[n
     return back[index.locate(rows)], which
 
 
-def scan_part(docs: DataFrame, windows: Windows, text: str, drop: tuple[str, ...] = ()) -> DataFrame:
+def scan_part(docs: DataFrame, windows: Windows, text: str, drop: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
+    """One pass with one part of the windows; with ``clean``, only the text is changed and nothing added."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
 
     def work(block: pa.RecordBatch) -> dict:
@@ -126,6 +128,9 @@ def scan_part(docs: DataFrame, windows: Windows, text: str, drop: tuple[str, ...
         a, b = np.flatnonzero(first), np.flatnonzero(last)
         before = letters_before(data)
         base = before[off[doc[a]]]
+        if clean:
+            own = block.column(text)
+            return {text: pc.if_else(own.is_null(), pa.scalar(None, pa.large_string()), cut_out(data, off, start[a], end[b]))}
         spans = pa.StructArray.from_arrays(
             [pa.array((before[start[a]] - base).astype(np.int32)), pa.array((before[end[b]] - base).astype(np.int32))], ["start", "end"]
         )
@@ -140,7 +145,17 @@ def scan_part(docs: DataFrame, windows: Windows, text: str, drop: tuple[str, ...
             "items": lists(pa.array([win.names[i] for i in pair % k], pa.string()), np.searchsorted(pair // k, np.arange(n + 1))),
         }
 
-    return map_blocks(docs, text, work, FIELDS, drop)
+    return map_blocks(docs, text, work, [StructField(text, StringType())] if clean else FIELDS, drop)
+
+
+def cut_out(data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The block's texts without the byte spans [start, end)."""
+    gone = np.zeros(len(data) + 1, np.int64)
+    np.add.at(gone, start, 1)
+    np.add.at(gone, end, -1)
+    keep = np.cumsum(gone[:-1]) == 0
+    left = np.r_[0, np.cumsum(keep)][off]
+    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[keep])))
 
 
 def parts(benchmark: DataFrame, item_id: str, text: str, width: int, part_bytes: int) -> list[Windows]:
@@ -212,6 +227,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **o
     added = [f.name for f in FIELDS]
     # columns that happen to have the name of an added one step aside
     aside = {c: f"_own_{c}" for c in docs.columns if c in added}
+    found = parts(benchmark, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("width", WIDTH), options.get("part_bytes", PART_BYTES))
+    if len(found) == 1:
+        return scan_part(docs, found[0], text, clean=True).select(*docs.columns)
     found = scan(docs.withColumnsRenamed(aside), benchmark, text=text, **options)
 
     def work(block: pa.RecordBatch) -> dict:

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from tessera.llm import words
+from tessera.llm.blocks import small_batches
 from tessera.store import table
 
 WINDOW = 2048
@@ -90,6 +91,7 @@ def tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenize
 
     (doc_id, t, start, length, ids_crc32, doc_tokens[, ids]); t is a hash of the text.
     """
+    small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     fields = [rows.schema["doc_id"], StructField("t", LongType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids_crc32", LongType()), StructField("doc_tokens", LongType())]

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tessera.llm import words
-from tessera.llm.blocks import map_blocks
+from tessera.llm.blocks import map_blocks, small_batches
 from tessera.llm.fmindex import FMIndex
 from tessera.store import table
 
@@ -273,6 +273,7 @@ def first_places(shards: DataFrame, window: int, tasks: int) -> DataFrame:
 def removals(rows: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """Per document: its repeated anchors, and runs of windows that are the first of their kind."""
     spark = rows.sparkSession
+    small_batches(spark)
     each = anchors(rows, window, gram)
     twice = table(each.groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a"), "anchors")
     own = table(each.join(twice, "a").groupBy("d", "t").agg(F.collect_set("a").alias("anchors")), "own-anchors")

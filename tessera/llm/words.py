@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-BLOCK_BYTES = 2 << 20  # of text handled at once by one Python worker
+BLOCK_BYTES = 1 << 20  # of text handled at once by one Python worker
 
 #: bytes of words `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` once A-Z are lower-cased
 ALNUM = np.zeros(256, bool)
