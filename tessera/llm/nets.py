@@ -56,6 +56,7 @@ class ByteNet:
     """
 
     WIDTH, STRIDE, DIM, FILTERS, HALF = 8, 4, 7, 24, 32  # a chunk is two halves of HALF filter places
+    SLICE = 512
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
@@ -92,45 +93,65 @@ class ByteNet:
     def join(docs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         return tuple(np.concatenate([d[i] for d in docs]) for i in range(3))
 
-    def windows(self, data: np.ndarray, rep: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Filter inputs, one row for each place, and the first byte of each place."""
-        x = np.empty((len(data), self.DIM + 1), np.float32)
-        x[:, :-1] = self.p["e"][data]
-        x[:, -1] = rep
-        cells = x.reshape(len(data) // self.STRIDE, -1)
-        k = self.WIDTH // self.STRIDE
-        first = np.repeat(np.cumsum(places + k - 1) - places - (k - 1) - (np.cumsum(places) - places), places) + np.arange(places.sum())
-        return np.concatenate([cells[first + i] for i in range(k)], axis=1), first
+    def firsts(self, places: np.ndarray) -> np.ndarray:
+        """The first cell (of STRIDE bytes) of each filter place."""
+        spare = self.WIDTH // self.STRIDE - 1
+        room = np.cumsum(places + spare) - places - spare
+        return np.repeat(room - (np.cumsum(places) - places), places) + np.arange(places.sum())
 
-    def pooled(self, z: np.ndarray, places: np.ndarray):
-        """Document features, with what the way back needs."""
+    def windows(self, data: np.ndarray, rep: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Filter inputs, one row for each place; ``first`` ascends."""
+        k = self.WIDTH // self.STRIDE
+        own = slice(first[0] * self.STRIDE, (first[-1] + k) * self.STRIDE)
+        x = np.empty((own.stop - own.start, self.DIM + 1), np.float32)
+        x[:, :-1] = self.p["e"][data[own]]
+        x[:, -1] = rep[own]
+        cells = x.reshape(len(x) // self.STRIDE, -1)
+        return np.concatenate([cells[first - first[0] + i] for i in range(k)], axis=1)
+
+    def layout(self, places: np.ndarray) -> tuple[np.ndarray, ...]:
+        """First place of each half, and the halves and first chunks of chunks and documents."""
         halves = -(-places // self.HALF)
         begin = np.cumsum(places) - places
         h0 = np.cumsum(halves) - halves
         inner = np.arange(halves.sum()) - np.repeat(h0, halves)
         at = np.repeat(begin, halves) + inner * self.HALF
-        half = np.maximum.reduceat(z, at, axis=0)
         # chunk i is half i with half i + 1; the last half of a document stands alone only if it is the first
         chunks = np.maximum(1, halves - 1)
         c0 = np.cumsum(chunks) - chunks
         left = np.repeat(h0 - c0, chunks) + np.arange(chunks.sum())
         right = np.minimum(left + 1, np.repeat(h0 + halves - 1, chunks))
+        return at, left, right, c0, chunks
+
+    def features(self, half: np.ndarray, left: np.ndarray, right: np.ndarray, c0: np.ndarray, chunks: np.ndarray):
+        """Largest and mean answer of each document's chunks, with the chunks' answers."""
         chunk = np.maximum(half[left], half[right])
         top = np.maximum.reduceat(chunk, c0, axis=0)
         mean = np.add.reduceat(chunk, c0, axis=0) / chunks[:, None]
-        return np.concatenate([top, mean], 1), (at, half, left, right, chunk, c0, chunks, top)
+        return np.concatenate([top, mean], 1), chunk, top
 
     def logits(self, prepared: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Documents' scores before the sigmoid; filters run over SLICE halves at a time, however long a text is."""
         data, rep, places = prepared
-        x, _ = self.windows(data, rep, places)
-        z = np.maximum(x @ self.p["k"] + self.p["b"], 0)
-        return self.pooled(z, places)[0] @ self.p["v"] + self.p["c"][0]
+        at, *chunked = self.layout(places)
+        first = self.firsts(places)
+        half = np.empty((len(at), self.FILTERS), np.float32)
+        ends = np.r_[at[1:], len(first)]
+        for i in range(0, len(at), self.SLICE):
+            a, b = at[i], ends[min(i + self.SLICE, len(at)) - 1]
+            z = self.windows(data, rep, first[a:b]) @ self.p["k"] + self.p["b"]
+            half[i : i + self.SLICE] = np.maximum.reduceat(z, at[i : i + self.SLICE] - a, axis=0)
+        np.maximum(half, 0, out=half)
+        return self.features(half, *chunked)[0] @ self.p["v"] + self.p["c"][0]
 
     def gradients(self, prepared: tuple[np.ndarray, ...], y: np.ndarray) -> dict[str, np.ndarray]:
         data, rep, places = prepared
-        x, first = self.windows(data, rep, places)
+        first = self.firsts(places)
+        x = self.windows(data, rep, first)
         z = np.maximum(x @ self.p["k"] + self.p["b"], 0)
-        f, (at, half, left, right, chunk, c0, chunks, top) = self.pooled(z, places)
+        at, left, right, c0, chunks = self.layout(places)
+        half = np.maximum.reduceat(z, at, axis=0)
+        f, chunk, top = self.features(half, left, right, c0, chunks)
         d = ((sigmoid(f @ self.p["v"] + self.p["c"][0]) - y) / len(y)).astype(np.float32)
         g = {"v": f.T @ d + 1e-4 * self.p["v"], "c": d.sum(keepdims=True)}
         df = d[:, None] * self.p["v"]
