@@ -2,10 +2,9 @@
 
 Batch resolution is the design for scale: keys are exploded and equi-joined,
 pairs are scored in one projection, pairs above the merge floor become edges of
-connected components. A key shared by more than ``most`` rows is no evidence
-and would pair a large part of the table; such keys are dealt with by joining
-on the key together with the name's next distinguishing key (see
-:func:`candidate_pairs`), so no group is paired with itself unboundedly.
+connected components. All items that share a key are compared, as the semantics
+ask; ``most`` is an option for tables with very common keys that leaves keys of
+more items out of the pairing (equal names and domains still meet).
 """
 
 from __future__ import annotations
@@ -48,8 +47,8 @@ def candidate_pairs(keys: DataFrame) -> DataFrame:
 def selective(keys: DataFrame, most: int) -> DataFrame:
     """Keys without those of more than ``most`` items; for blocks whose pairs would grow with their square.
 
-    Rows are not lost: an item keeps its rarer keys, and an equal name or domain
-    is found by :func:`same_value` whatever its number of rows.
+    An item keeps its rarer keys, and an equal name or domain is found by
+    :func:`same_value` whatever its number of rows; pairs that share only common keys are not compared.
     """
     common = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= most)
     return keys.join(common.select("key"), "key")
@@ -137,10 +136,10 @@ def survivors(edges: DataFrame, items: DataFrame, id_col: str = "id", seen: str
     return absorbed.join(strongest.withColumnRenamed("node", "absorbed"), "absorbed")
 
 
-def resolve_batch(items: DataFrame, most: int = 1000, embeddings: bool = False) -> DataFrame:
+def resolve_batch(items: DataFrame, most: int | None = None, embeddings: bool = False) -> DataFrame:
     """(absorbed, survivor, pair_score) of items (id, name, domain, people, first_seen_at), names and domains normalised."""
-    keys = selective(keyed(items, "id", F.col("name"), F.col("domain")), most)
-    pairs = candidate_pairs(keys).union(same_value(items, "id", F.col("domain"))).union(same_value(items, "id", F.col("name"))).distinct()
+    keys = keyed(items, "id", F.col("name"), F.col("domain"))
+    pairs = candidate_pairs(selective(keys, most) if most else keys).union(same_value(items, "id", F.col("domain"))).union(same_value(items, "id", F.col("name"))).distinct()
     edges = score_pairs(pairs, items, "id", embeddings).where(F.col("score") >= UNCERTAIN)
     return survivors(edges.select("lo", "hi", "score"), items)
 

@@ -180,7 +180,7 @@ def best_candidates(spark, sf_dir):
 
 
 def resolved(spark, sf_dir):
-    merges = resolve.resolve_batch(_items(spark, sf_dir), most=1_000_000)
+    merges = resolve.resolve_batch(_items(spark, sf_dir))
     return merges.select("absorbed", "survivor", F.round("pair_score", 6).alias("pair_score"))
 
 
