@@ -22,6 +22,8 @@ LABELS = {
     "recency": "how recently the company was first seen",
 }
 
+RANGES = 64  # of distinct values, for ranks
+
 
 def hard_filter(stage: Column, sector: Column, thesis: Thesis) -> Column:
     """Why a company fails the thesis's hard filters; null if it passes. The stage is checked first."""
@@ -48,15 +50,22 @@ def raw_momentum(latest: DataFrame, by: str = "company_id", kinds: list[str] | N
 def percentile(rows: DataFrame, value: str, into: str, digits: int = 9) -> DataFrame:
     """``rows`` with (average rank - 0.5) / n of a value; ties share a rank.
 
-    Ranks come from the counts of the distinct values, so the window that runs
-    over one partition sees values, not rows. Values are rounded to ``digits``.
+    Ranks come from the counts of the distinct values (rounded to ``digits``).
+    Approximate quantiles deal these into RANGES ranges; a window inside each
+    range and the ranges' totals give exact ranks, so no task sorts all values.
     """
     keyed = rows.withColumn("_v", F.round(value, digits))
     counts = keyed.groupBy("_v").agg(F.count("*").alias("_n"))
-    upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy()
-    ranks = counts.select("_v", ((F.sum("_n").over(upto) - F.col("_n") + (F.col("_n") + 1) / 2 - 0.5) / F.sum("_n").over(every)).alias(into))
-    return keyed.join(ranks, "_v").drop("_v")
+    bounds = counts.agg(F.percentile_approx("_v", [i / RANGES for i in range(1, RANGES)], 10_000).alias("_q"))
+    dealt = counts.crossJoin(F.broadcast(bounds))  # one row of bounds
+    dealt = dealt.select("_v", "_n", F.size(F.filter("_q", lambda q: q < F.col("_v"))).alias("_r"))
+    totals = dealt.groupBy("_r").agg(F.sum("_n").alias("_t"))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most RANGES rows
+    starts = totals.select("_r", (F.sum("_t").over(before) - F.col("_t")).alias("_s"), F.sum("_t").over(Window.partitionBy()).alias("_all"))
+    upto = Window.partitionBy("_r").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = dealt.withColumn("_u", F.sum("_n").over(upto)).join(F.broadcast(starts), "_r")
+    ranks = inside.select("_v", ((F.col("_s") + F.col("_u") - F.col("_n") + (F.col("_n") + 1) / 2 - 0.5) / F.col("_all")).alias(into))
+    return keyed.join(ranks, "_v", "left").drop("_v")
 
 
 def keywords(name: Column, description: Column, thesis: Thesis) -> Column:

@@ -387,7 +387,7 @@ def incremental_read(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_type", "event_id", "ts")
     first = e.where(F.col("event_id") % 10 < 7)
     marks = first.groupBy("event_type").agg(F.max("ts").alias("watermark"))
-    late = e.join(F.broadcast(marks), "event_type").where(F.col("ts") > F.col("watermark"))
+    late = e.join(marks, "event_type").where(F.col("ts") > F.col("watermark"))
     seen = late.groupBy("event_type").agg(F.count("*").alias("fresh"), F.max("ts").alias("top"))
     return marks.join(seen, "event_type", "left").select("event_type", F.coalesce("fresh", F.lit(0)).alias("fresh"), F.greatest("watermark", "top").alias("watermark"))
 
