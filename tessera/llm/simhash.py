@@ -13,6 +13,14 @@ group and no link is lost. Each shard gives only a spanning forest of its links.
 Equal fingerprints are merged before anything else. Shingles are of 3 words, as
 the query's contract asks; ``width`` and ``radius`` are parameters.
 
+:func:`dedup_similar` removes texts whose distinct shingles of ``width`` words
+have a Jaccard similarity of ``like`` or more, as far as fingerprints tell: a
+pair of that similarity differs in some 15 % of its bits, too many for blocks
+that agree. It takes fingerprints of LANES words of 64 bits and, as shards, all
+that agree on a random choice of bits; there are as many choices as it takes for
+the share CATCH of pairs at ``like`` to meet, whatever the table's size. The
+radius is that of a pair at ``like`` and one standard error of the estimate.
+
 Defined results: a null, empty or wordless text has fingerprint zero, linked
 like any other; a text of fewer words than a shingle is one shingle; rows with
 a null id take part, and component_id is the smallest id that is not null (null
@@ -23,7 +31,7 @@ empty result; other columns are carried by :func:`dedup` unchanged.
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil
+from math import acos, ceil, floor, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -41,25 +49,34 @@ WIDTH, RADIUS, SEED = 3, 3, 42
 MOST = 512  # fingerprints of one tree
 PER_TASK = 100_000  # fingerprints of all trees in a task
 
+# of dedup_similar
+WIDE, LIKE = 5, 0.8
+LANES = 4  # 64-bit words of a fingerprint
+CATCH = 0.95
+MOST_LONG = 4096
+SHARED = 5  # a shard has 2**SHARED fingerprints in the mean, where the table has so many
+
+
+def shingles(raw: bytes, width: int) -> list[int]:
+    """Hashes of a text's shingles, repeats included."""
+    digest = xxhash.xxh64_intdigest
+    own = raw.translate(_LOWER).split()  # bytes split on 0x20 and 0x09 to 0x0D
+    line = b" ".join(own)
+    if len(own) <= width:
+        return [digest(line, SEED)] if own else []
+    end = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
+    start = np.r_[0, end[:-1] + 1]
+    return [digest(line[a:b], SEED) for a, b in zip(start[: len(own) - width + 1].tolist(), end[width - 1 :].tolist())]
+
 
 def fingerprint(texts: list[bytes], width: int = WIDTH) -> np.ndarray:
     """SimHash of each text, as unsigned 64-bit integers."""
-    digest = xxhash.xxh64_intdigest
     hashed: list[int] = []
     sizes = np.zeros(len(texts), np.int64)
     for i, raw in enumerate(texts):
-        own = raw.translate(_LOWER).split()  # bytes split on 0x20 and 0x09 to 0x0D
-        if not own:
-            continue
-        if len(own) <= width:
-            hashed.append(digest(b" ".join(own), SEED))
-            sizes[i] = 1
-            continue
-        line = b" ".join(own)
-        end = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
-        start = np.r_[0, end[:-1] + 1]
-        hashed += [digest(line[a:b], SEED) for a, b in zip(start[: len(own) - width + 1].tolist(), end[width - 1 :].tolist())]
-        sizes[i] = len(own) - width + 1
+        own = shingles(raw, width)
+        hashed += own
+        sizes[i] = len(own)
     out = np.zeros(len(texts), np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
@@ -69,6 +86,25 @@ def fingerprint(texts: list[bytes], width: int = WIDTH) -> np.ndarray:
     return out
 
 
+def long_fingerprint(texts: list[bytes], width: int = WIDE, lanes: int = LANES) -> np.ndarray:
+    """SimHash of each text's distinct shingles, as ``lanes`` rows of unsigned 64-bit integers.
+
+    A bit that half the shingles set is that of the least shingle, so that it is
+    set as often as not in short texts too.
+    """
+    each = [np.unique(np.array(shingles(raw, width), np.uint64)) for raw in texts]
+    sizes = np.array([len(x) for x in each], np.int64)
+    out = np.zeros((lanes, len(texts)), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        hashed, first = np.concatenate(each), (np.cumsum(sizes) - sizes)[some]
+        for lane in range(lanes):
+            bits = np.unpackbits(words.mix(hashed + np.uint64(lane)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+            out[lane, some] = np.packbits(ones * 2 + bits[first] > sizes[some][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
+
+
 _LOWER = bytes(words.LOWER)
 
 
@@ -82,19 +118,32 @@ def with_fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerpr
     return map_blocks(docs, text, work, [StructField(into, LongType())], drop)
 
 
+def with_long_fingerprints(docs: DataFrame, text: str, width: int, lanes: int, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with the long fingerprint's words p0, p1, ... and their hash fp."""
+
+    def work(block: pa.RecordBatch) -> dict:
+        column = block.column(text).cast(pa.large_binary())
+        found = long_fingerprint([x or b"" for x in column.to_pylist()], width, lanes)
+        return {f"p{i}": found[i].view(np.int64) for i in range(lanes)}
+
+    names = [f"p{i}" for i in range(lanes)]
+    return map_blocks(docs, text, work, [StructField(p, LongType()) for p in names], drop).withColumn("fp", F.xxhash64(*names))
+
+
 class Forest:
-    """BK-trees of several groups of distinct fingerprints; x sorted by group."""
+    """BK-trees of several groups of distinct fingerprints; x (or each of its rows, for long ones) sorted by group."""
 
     def __init__(self, x: np.ndarray, group: np.ndarray):
-        n = len(x)
-        self.x = x
+        self.lanes = np.atleast_2d(x)
+        self.edges = 64 * len(self.lanes) + 1  # distances that an edge may have
+        n = self.lanes.shape[1]
         first = np.r_[True, group[1:] != group[:-1]] if n else np.zeros(0, bool)
         self.root = np.flatnonzero(first)[np.cumsum(first) - 1] if n else np.zeros(0, np.int64)
         todo = np.flatnonzero(~first)
         at = self.root[todo]
         keys, children = [], []
         while len(todo):
-            key = at * 65 + np.bitwise_count(x[todo] ^ x[at]).astype(np.int64)
+            key = at * self.edges + self.distance(todo, at)
             found, place, back = np.unique(key, return_index=True, return_inverse=True)
             child = todo[place]
             keys.append(found)
@@ -107,15 +156,18 @@ class Forest:
         order = np.argsort(self.key)
         self.key, self.child = self.key[order], self.child[order]
 
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in self.lanes)
+
     def search(self, query: np.ndarray, radius: int):
         """Pairs (query, node) within the radius, level by level."""
         q, node = query, self.root[query]
         while len(q):
-            d = np.bitwise_count(self.x[q] ^ self.x[node]).astype(np.int64)
+            d = self.distance(q, node)
             near = (d <= radius) & (q != node)
             yield q[near], node[near]
-            lo = np.searchsorted(self.key, node * 65 + np.maximum(d - radius, 0))
-            hi = np.searchsorted(self.key, node * 65 + np.minimum(d + radius, 64), "right")
+            lo = np.searchsorted(self.key, node * self.edges + np.maximum(d - radius, 0))
+            hi = np.searchsorted(self.key, node * self.edges + np.minimum(d + radius, self.edges - 1), "right")
             count = hi - lo
             at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
             q, node = np.repeat(q, count), self.child[at]
@@ -124,11 +176,12 @@ class Forest:
 def forest_links(x: np.ndarray, group: np.ndarray, radius: int, step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, least place reached) of all linked fingerprints, inside the groups."""
     trees = Forest(x, group)
-    label = np.arange(len(x))
-    for at in range(0, len(x), step):
-        for a, b in trees.search(np.arange(at, min(at + step, len(x))), radius):
+    n = len(group)
+    label = np.arange(n)
+    for at in range(0, n, step):
+        for a, b in trees.search(np.arange(at, min(at + step, n)), radius):
             label = graph.hook(label, a, b)
-    linked = np.flatnonzero(label != np.arange(len(x)))
+    linked = np.flatnonzero(label != np.arange(n))
     return linked, label[linked]
 
 
@@ -141,17 +194,19 @@ def shards(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
 
 
 def dealt(rows: DataFrame, most: int) -> DataFrame:
-    """(tree, fp): large shards as pairs of parts, each part meeting every other and itself."""
+    """(tree, fp, ...): large shards as pairs of parts, each part meeting every other and itself."""
+    own_columns = [c for c in rows.columns if c != "shard"]
     sizes = table(rows.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "shard-sizes")
     parts = F.ceil(F.col("n") / (most / 2)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("a"), F.greatest(i, F.col("own")).alias("b")))
     split = rows.join(sizes, "shard").withColumn("parts", F.when(F.col("n") <= most, 1).otherwise(parts)).withColumn("own", own)
-    return split.select("shard", "fp", F.explode(pairs).alias("p")).select(F.xxhash64("shard", "p.a", "p.b").alias("tree"), "fp")
+    return split.select("shard", *own_columns, F.explode(pairs).alias("p")).select(F.xxhash64("shard", "p.a", "p.b").alias("tree"), *own_columns)
 
 
-def links(prints: DataFrame, radius: int = RADIUS, most: int = MOST, blocks: int | None = None) -> DataFrame:
+def links(prints: DataFrame, radius: int = RADIUS, most: int | None = None, blocks: int | None = None) -> DataFrame:
     """(u, v) edges that connect all fingerprints (fp, distinct) within the radius."""
+    most = most or MOST
     n = prints.count()
     if blocks is None:
         blocks = radius + 1
@@ -175,16 +230,62 @@ def links(prints: DataFrame, radius: int = RADIUS, most: int = MOST, blocks: int
     return trees.repartition(tasks, "tree").mapInArrow(run, "u bigint, v bigint")
 
 
+def agreeing(prints: DataFrame, lanes: int, bits: int, choices: int) -> DataFrame:
+    """(shard, fp, p0, ...): a row for each of some random choices of bits."""
+    rng = np.random.default_rng(23)
+    chosen = [rng.permutation(64 * lanes)[:bits] for _ in range(choices)]
+    names = [f"p{i}" for i in range(lanes)]
+
+    def run(batches):
+        for b in batches:
+            x = np.stack([b.column(c).to_numpy() for c in names], 1)
+            flat = np.unpackbits(x.view(np.uint8), axis=1)
+            for i, places in enumerate(chosen):
+                shard = (i << bits) + flat[:, places] @ (np.int64(1) << np.arange(bits))
+                yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("fp"), *[b.column(c) for c in names]], names=["shard", "fp", *names])
+
+    return prints.select("fp", *names).mapInArrow(run, "shard bigint, fp bigint, " + ", ".join(f"{c} bigint" for c in names))
+
+
+def long_links(prints: DataFrame, like: float = LIKE, lanes: int = LANES, most: int | None = None, catch: float = CATCH) -> DataFrame:
+    """(u, v) edges of long fingerprints (fp, p0, ...; distinct) whose texts are estimated to be at least ``like``."""
+    most, n = most or MOST_LONG, prints.count()
+    # of the vectors of two sets with Jaccard similarity J, the cosine is 2J / (1 + J) at least
+    differ = acos(2 * like / (1 + like)) / pi
+    radius = floor(64 * lanes * differ + sqrt(64 * lanes * differ * (1 - differ)))
+    bits = min(40, max(12, ceil(log2(n + 1)) - SHARED))
+    choices = ceil(log(1 - catch) / log(1 - (1 - differ) ** bits))
+    trees = dealt(agreeing(prints, lanes, bits, choices), most)
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(n * choices / PER_TASK))
+
+    def run(batches):
+        own = [b for b in batches if b.num_rows]
+        if not own:
+            return
+        rows = pa.Table.from_batches(own)
+        tree, fp = rows.column("tree").to_numpy(), rows.column("fp").to_numpy()
+        order = np.lexsort((fp, tree))
+        x = np.stack([rows.column(f"p{i}").to_numpy()[order] for i in range(lanes)]).view(np.uint64)
+        i, j = forest_links(x, tree[order], radius, step=1000)
+        yield pa.RecordBatch.from_arrays([pa.array(fp[order][i]), pa.array(fp[order][j])], names=["u", "v"])
+
+    return trees.repartition(tasks, "tree").mapInArrow(run, "u bigint, v bigint")
+
+
+def named(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints (fp, least): the least id of those that the edges connect."""
+    labels = graph.components(edges)
+    labelled = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    labelled = table(labelled.select("fp", "least", "label"), "labelled-prints")
+    least = table(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "least-ids")
+    return table(labelled.select("fp", "label").join(least, "label").select("fp", "component_id"), "components")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """(id, fp, component_id) for each row."""
     each = table(with_fingerprints(docs.select(doc_id, text), text, "fp", width, (text,)), "prints")
     prints = table(each.groupBy("fp").agg(F.min(doc_id).alias("least")), "distinct-prints")
-    labels = graph.components(links(prints.select("fp"), radius))
-    named = prints.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = table(named, "labelled-prints")
-    least = table(named.groupBy("label").agg(F.min("least").alias("component_id")), "least-ids")
-    final = table(named.select("fp", "label").join(least, "label").select("fp", "component_id"), "components")
-    return each.join(final, "fp")
+    return each.join(named(prints, links(prints.select("fp"), radius)), "fp")
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -197,6 +298,20 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     return one.dropDuplicates([doc_id, "_fp2"]).select(*docs.columns)
 
 
+def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDE, like: float = LIKE, lanes: int = LANES) -> DataFrame:
+    """One row of ``docs`` for each group of similar texts: that of its smallest id."""
+    body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    some = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), body.alias("t"))
+    each = table(with_long_fingerprints(some, "text", width, lanes, ("text",)), "long-prints")
+    prints = table(each.groupBy("fp").agg(F.min("id").alias("least"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(lanes)]), "distinct-prints")
+    found = each.select("id", "t", "fp").join(named(prints, long_links(prints, like, lanes)), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    # several texts may have the group's id, and a row may be there twice
+    rows = found.groupBy("component_id", "t").agg(F.count("*").alias("_n"))
+    keep = table(rows.groupBy("component_id").agg(F.min_by(F.struct("t", "_n"), "t").alias("x")).select(F.col("component_id").alias("_id"), F.col("x.t").alias("_t"), F.col("x._n").alias("_n")), "kept")
+    one = docs.join(keep, F.col(doc_id).eqNullSafe(keep["_id"]) & (body == keep["_t"]), "left_semi")
+    return one if keep.where("_n > 1").isEmpty() else one.dropDuplicates([doc_id, text])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     hexed: Column = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return classes(docs).select("doc_id", hexed.alias("fingerprint"), "component_id")

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -231,6 +232,47 @@ def test_simhash(docs, rows, empty, most, monkeypatch):
         assert simhash.digest(empty).count() == 0
 
 
+@cache
+def five_words(text):
+    w = low(text).split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similarity(a, b):
+    """Jaccard similarity of the sets of 5-word shingles of two texts."""
+    x, y = five_words(a), five_words(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("most", [4096, 4])
+def test_similar(spark, docs, rows, empty, most, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST_LONG", most)
+    kept = simhash.dedup_similar(docs)
+    assert kept.columns == docs.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert max(ids.values()) == 1
+    texts = {r.doc_id: r.text or "" for r in rows if r.doc_id is not None}
+    for k, text in texts.items():
+        others = {j: similarity(text, t) for j, t in texts.items() if j != k}
+        if k in ids:
+            assert all(s < 0.9 for j, s in others.items() if j in ids)
+        else:
+            assert max(others.values()) > 0.6
+    assert simhash.dedup_similar(empty).count() == 0
+
+
+def test_similar_planted(spark):
+    rng = np.random.default_rng(4)
+    table = []
+    for k in range(0, 400, 4):
+        own = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        near, far = list(own), [f"w{x}" for x in rng.integers(0, 5000, 80)]
+        near[len(own) // 2] = "changed"
+        table += [(k, " ".join(own)), (k + 1, " ".join(near)), (k + 2, " ".join(own[:20] + far)), (k + 3, " ".join(far[:2]))]
+    kept = {r.doc_id for r in simhash.dedup_similar(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert kept == {k for k, _ in table if k % 4 != 1}
+
+
 def test_bk_forest_finds_all_links():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
