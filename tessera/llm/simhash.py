@@ -14,12 +14,13 @@ Equal fingerprints are merged before anything else. Shingles are of 3 words, as
 the query's contract asks; ``width`` and ``radius`` are parameters.
 
 :func:`dedup_similar` removes texts whose distinct shingles of ``width`` words
-have a Jaccard similarity of ``like`` or more, as far as fingerprints tell: a
-pair of that similarity differs in some 15 % of its bits, too many for blocks
-that agree. It takes fingerprints of LANES words of 64 bits and, as shards, all
-that agree on a random choice of bits; there are as many choices as it takes for
-the share CATCH of pairs at ``like`` to meet, whatever the table's size. The
-radius is that of a pair at ``like`` and one standard error of the estimate.
+have a Jaccard similarity of ``like`` or more. Candidates share one of BANDS keys
+of ROWS least hashes: a pair at 0.8 shares none with a chance of 2 in 100,000, a
+closer one with less, whatever the table's size; that chance is all that may be
+missed. Every link is then decided on the shingles' hashes themselves. First each
+key's rows meet one of them, another for each key; groups of similar texts so
+become components by few pairs. Then all rows of a key that are still in different
+components meet each other, so that no candidate pair is left undecided.
 
 Defined results: a null, empty or wordless text has fingerprint zero, linked
 like any other; a text of fewer words than a shingle is one shingle; rows with
@@ -31,17 +32,17 @@ empty result; other columns are carried by :func:`dedup` unchanged.
 from __future__ import annotations
 
 from itertools import combinations
-from math import acos, ceil, floor, log, log2, pi, sqrt
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField
 
 from tessera.llm import words
-from tessera.llm.blocks import map_blocks
+from tessera.llm.blocks import lists, map_blocks
 from tessera.operators import graph
 from tessera.store import table
 
@@ -51,10 +52,8 @@ PER_TASK = 100_000  # fingerprints of all trees in a task
 
 # of dedup_similar
 WIDE, LIKE = 5, 0.8
-LANES = 4  # 64-bit words of a fingerprint
-CATCH = 0.95
+BANDS, ROWS = 36, 6
 MOST_LONG = 4096
-SHARED = 5  # a shard has 2**SHARED fingerprints in the mean, where the table has so many
 
 
 def shingles(raw: bytes, width: int) -> list[int]:
@@ -86,23 +85,21 @@ def fingerprint(texts: list[bytes], width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def long_fingerprint(texts: list[bytes], width: int = WIDE, lanes: int = LANES) -> np.ndarray:
-    """SimHash of each text's distinct shingles, as ``lanes`` rows of unsigned 64-bit integers.
-
-    A bit that half the shingles set is that of the least shingle, so that it is
-    set as often as not in short texts too.
-    """
+def sketch(texts: list[bytes], width: int = WIDE, bands: int = BANDS, rows: int = ROWS) -> tuple[list[bytes], np.ndarray]:
+    """Sorted hashes of each text's distinct shingles, and for each text a row of band keys."""
     each = [np.unique(np.array(shingles(raw, width), np.uint64)) for raw in texts]
     sizes = np.array([len(x) for x in each], np.int64)
-    out = np.zeros((lanes, len(texts)), np.uint64)
+    keys = np.zeros((len(texts), bands), np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
         hashed, first = np.concatenate(each), (np.cumsum(sizes) - sizes)[some]
-        for lane in range(lanes):
-            bits = np.unpackbits(words.mix(hashed + np.uint64(lane)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-            out[lane, some] = np.packbits(ones * 2 + bits[first] > sizes[some][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
+        odd = words.mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+        for band in range(bands):
+            key = np.full(len(some), band, np.uint64)
+            for by in odd[band * rows : (band + 1) * rows]:
+                key = words.mix(key ^ np.minimum.reduceat(words.mix(hashed * by), first))
+            keys[some, band] = key
+    return [x.tobytes() for x in each], keys
 
 
 _LOWER = bytes(words.LOWER)
@@ -118,16 +115,21 @@ def with_fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerpr
     return map_blocks(docs, text, work, [StructField(into, LongType())], drop)
 
 
-def with_long_fingerprints(docs: DataFrame, text: str, width: int, lanes: int, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with the long fingerprint's words p0, p1, ... and their hash fp."""
+def with_sketches(docs: DataFrame, text: str, width: int, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with the number of shingles (n), a hash of them all (fp) and the band keys (bands)."""
 
     def work(block: pa.RecordBatch) -> dict:
         column = block.column(text).cast(pa.large_binary())
-        found = long_fingerprint([x or b"" for x in column.to_pylist()], width, lanes)
-        return {f"p{i}": found[i].view(np.int64) for i in range(lanes)}
+        own, keys = sketch([x or b"" for x in column.to_pylist()], width)
+        places = np.arange(len(own) + 1) * keys.shape[1]
+        return {
+            "n": np.array([len(x) // 8 for x in own], np.int32),
+            "fp": np.array([xxhash.xxh64_intdigest(x, SEED) for x in own], np.uint64).view(np.int64),
+            "bands": lists(pa.array(keys.view(np.int64).ravel()), places),
+        }
 
-    names = [f"p{i}" for i in range(lanes)]
-    return map_blocks(docs, text, work, [StructField(p, LongType()) for p in names], drop).withColumn("fp", F.xxhash64(*names))
+    fields = [StructField("n", IntegerType()), StructField("fp", LongType()), StructField("bands", ArrayType(LongType()))]
+    return map_blocks(docs, text, work, fields, drop)
 
 
 class Forest:
@@ -230,46 +232,88 @@ def links(prints: DataFrame, radius: int = RADIUS, most: int | None = None, bloc
     return trees.repartition(tasks, "tree").mapInArrow(run, "u bigint, v bigint")
 
 
-def agreeing(prints: DataFrame, lanes: int, bits: int, choices: int) -> DataFrame:
-    """(shard, fp, p0, ...): a row for each of some random choices of bits."""
-    rng = np.random.default_rng(23)
-    chosen = [rng.permutation(64 * lanes)[:bits] for _ in range(choices)]
-    names = [f"p{i}" for i in range(lanes)]
+def with_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
+    """``docs`` with the sorted hashes of its text's distinct shingles (own) in the text's stead."""
+
+    def work(block: pa.RecordBatch) -> dict:
+        column = block.column(text).cast(pa.large_binary())
+        return {"own": pa.array([np.unique(np.array(shingles(x or b"", width), np.uint64)).tobytes() for x in column.to_pylist()], pa.binary())}
+
+    return map_blocks(docs, text, work, [StructField("own", BinaryType())], (text,))
+
+
+def alike(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
+    """The pairs (u, v) whose sets (fp, own) have a Jaccard similarity of ``like`` or more, counted exactly."""
 
     def run(batches):
         for b in batches:
-            x = np.stack([b.column(c).to_numpy() for c in names], 1)
-            flat = np.unpackbits(x.view(np.uint8), axis=1)
-            for i, places in enumerate(chosen):
-                shard = (i << bits) + flat[:, places] @ (np.int64(1) << np.arange(bits))
-                yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("fp"), *[b.column(c) for c in names]], names=["shard", "fp", *names])
-
-    return prints.select("fp", *names).mapInArrow(run, "shard bigint, fp bigint, " + ", ".join(f"{c} bigint" for c in names))
-
-
-def long_links(prints: DataFrame, like: float = LIKE, lanes: int = LANES, most: int | None = None, catch: float = CATCH) -> DataFrame:
-    """(u, v) edges of long fingerprints (fp, p0, ...; distinct) whose texts are estimated to be at least ``like``."""
-    most, n = most or MOST_LONG, prints.count()
-    # of the vectors of two sets with Jaccard similarity J, the cosine is 2J / (1 + J) at least
-    differ = acos(2 * like / (1 + like)) / pi
-    radius = floor(64 * lanes * differ + sqrt(64 * lanes * differ * (1 - differ)))
-    bits = min(40, max(12, ceil(log2(n + 1)) - SHARED))
-    choices = ceil(log(1 - catch) / log(1 - (1 - differ) ** bits))
-    trees = dealt(agreeing(prints, lanes, bits, choices), most)
-    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(n * choices / PER_TASK))
+            x, y = (b.column(c).to_pylist() for c in ("a", "b"))
+            keep = np.zeros(b.num_rows, bool)
+            for i, (s, t) in enumerate(zip(x, y)):
+                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep[i] = both >= like * (len(s) + len(t) - both) - 1e-9
+            yield b.select(["u", "v"]).filter(pa.array(keep))
+
+    left, right = (sets.select(F.col("fp").alias(k), F.col("own").alias(c)) for k, c in (("u", "a"), ("v", "b")))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+
+
+def apart(rows: DataFrame, like: float, most: int) -> DataFrame:
+    """(u, v) of all rows (shard, fp, n, label) of one shard and of different labels, where the sizes allow ``like``."""
+    trees = dealt(rows.withColumnRenamed("n", "size"), most)
 
     def run(batches):
         own = [b for b in batches if b.num_rows]
         if not own:
             return
-        rows = pa.Table.from_batches(own)
-        tree, fp = rows.column("tree").to_numpy(), rows.column("fp").to_numpy()
-        order = np.lexsort((fp, tree))
-        x = np.stack([rows.column(f"p{i}").to_numpy()[order] for i in range(lanes)]).view(np.uint64)
-        i, j = forest_links(x, tree[order], radius, step=1000)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[order][i]), pa.array(fp[order][j])], names=["u", "v"])
-
-    return trees.repartition(tasks, "tree").mapInArrow(run, "u bigint, v bigint")
+        found = pa.Table.from_batches(own)
+        tree, fp, n, label = (found.column(c).to_numpy() for c in ("tree", "fp", "size", "label"))
+        order = np.lexsort((n, tree))
+        tree, fp, n, label = tree[order], fp[order], n[order], label[order]
+        edges = np.r_[np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]]), len(tree)]
+        u, v, size = [], [], 0
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            ends = a + np.searchsorted(n[a:b], n[a:b] / like + 1e-6, "right")  # by size, so the others follow
+            for i in range(a, b - 1):
+                other = fp[i + 1 : ends[i - a]][label[i + 1 : ends[i - a]] != label[i]]
+                if len(other):
+                    u.append(np.minimum(other, fp[i]))
+                    v.append(np.maximum(other, fp[i]))
+                    size += len(other)
+                if size > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+                    u, v, size = [], [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return trees.repartition(tasks, "tree").mapInArrow(run, "u bigint, v bigint").where("u <> v").distinct()
+
+
+def similar_links(prints: DataFrame, texts: DataFrame, width: int = WIDE, like: float = LIKE, most: int | None = None) -> DataFrame:
+    """(u, v) edges that connect all sets (fp, n, bands, t; distinct) that are similar to ``like`` or more.
+
+    texts: (t, text), from which the shingles of candidates are taken again, so that only those are kept and moved.
+    """
+    each = prints.where("n > 0").select("fp", "n", F.explode("bands").alias("shard"))
+    by = F.xxhash64("shard", "fp")
+    first = each.groupBy("shard").agg(F.min_by(F.struct("fp", "n"), by).alias("first"), F.count("*").alias("c")).where("c > 1")
+    rows = table(each.join(first, "shard").select("shard", "fp", "n", "first", "c"), "sharing")
+    fits = F.least("n", "first.n") >= like * F.greatest("n", "first.n") - 1e-6
+    stars = rows.where((F.col("fp") != F.col("first.fp")) & fits).select(F.least("fp", "first.fp").alias("u"), F.greatest("fp", "first.fp").alias("v"))
+    met = table(stars.distinct(), "met")
+    named_once = met.select(F.explode(F.array("u", "v")).alias("fp")).union(rows.where("c > 2").select("fp")).distinct()
+    some = prints.select("fp", "t").join(named_once, "fp", "left_semi")
+    bodies = texts.join(some, "t").groupBy("t", "fp").agg(F.first("text").alias("text"))
+    some = table(with_sets(bodies, "text", width).select("fp", "own"), "sets")
+    near = table(alike(met, some, like), "near")
+    labels = graph.components(near).withColumnRenamed("node", "fp")
+    rows = rows.where("c > 2").join(labels, "fp", "left").select("shard", "fp", "n", F.coalesce("label", "fp").alias("label"))
+    rows = table(rows, "labelled")
+    mixed = rows.groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shard")
+    left = table(apart(rows.join(mixed, "shard", "left_semi"), like, most or MOST_LONG).join(met, ["u", "v"], "left_anti"), "apart")
+    return near.union(alike(left, some, like))
 
 
 def named(prints: DataFrame, edges: DataFrame) -> DataFrame:
@@ -298,13 +342,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     return one.dropDuplicates([doc_id, "_fp2"]).select(*docs.columns)
 
 
-def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDE, like: float = LIKE, lanes: int = LANES) -> DataFrame:
+def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDE, like: float = LIKE) -> DataFrame:
     """One row of ``docs`` for each group of similar texts: that of its smallest id."""
     body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     some = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), body.alias("t"))
-    each = table(with_long_fingerprints(some, "text", width, lanes, ("text",)), "long-prints")
-    prints = table(each.groupBy("fp").agg(F.min("id").alias("least"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(lanes)]), "distinct-prints")
-    found = each.select("id", "t", "fp").join(named(prints, long_links(prints, like, lanes)), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    each = table(with_sketches(some, "text", width, ("text",)), "sketches")
+    prints = table(each.groupBy("fp").agg(F.min("id").alias("least"), F.min("t").alias("t"), *[F.first(c).alias(c) for c in ("n", "bands")]), "distinct-sets")
+    found = each.select("id", "t", "fp").join(named(prints, table(similar_links(prints, some.select("t", "text"), width, like), "similar")), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
     # several texts may have the group's id, and a row may be there twice
     rows = found.groupBy("component_id", "t").agg(F.count("*").alias("_n"))
     keep = table(rows.groupBy("component_id").agg(F.min_by(F.struct("t", "_n"), "t").alias("x")).select(F.col("component_id").alias("_id"), F.col("x.t").alias("_t"), F.col("x._n").alias("_n")), "kept")

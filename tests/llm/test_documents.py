@@ -273,6 +273,30 @@ def test_similar_planted(spark):
     assert kept == {k for k, _ in table if k % 4 != 1}
 
 
+def edited(own, least, most):
+    """``own`` with words changed, one by one, until its similarity is in [least, most)."""
+    new, at = list(own), 7
+    while similarity(" ".join(own), " ".join(new)) >= most:
+        new[at] = "changed"
+        at += 5
+    assert least <= similarity(" ".join(own), " ".join(new)) < most
+    return " ".join(new)
+
+
+def kept_of_pairs(spark, least, most):
+    """Ids that stay of 150 unrelated pairs (2k, 2k + 1) of texts with a similarity in [least, most)."""
+    rng = np.random.default_rng(9)
+    table = []
+    for k in range(0, 300, 2):
+        own = [f"w{x}" for x in rng.integers(0, 50_000, int(rng.integers(150, 400)))]
+        table += [(k, " ".join(own)), (k + 1, edited(own, least, most))]
+    return {r.doc_id for r in simhash.dedup_similar(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+
+
+def test_similar_finds_every_pair(spark):
+    assert kept_of_pairs(spark, 0.8, 0.84) == set(range(0, 300, 2))
+
+
 def test_bk_forest_finds_all_links():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
