@@ -297,6 +297,10 @@ def test_similar_finds_every_pair(spark):
     assert kept_of_pairs(spark, 0.8, 0.84) == set(range(0, 300, 2))
 
 
+def test_similar_keeps_all_others(spark):
+    assert kept_of_pairs(spark, 0.75, 0.8) == set(range(300))
+
+
 def test_bk_forest_finds_all_links():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
