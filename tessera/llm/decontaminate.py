@@ -8,13 +8,14 @@ window fits there. Backward search through the wavelet matrix finds all windows
 at once; sampled suffixes give the places, which are merged into removal spans.
 
 The windows are broadcast in parts of at most ``part_bytes`` of item text (the
-size is measured first); one pass is made for each part, and the passes' spans
-are joined by document, so a benchmark of any size works.
+size is measured first). Each block meets all parts in turn and their hits are
+merged inside it, row by row, so results do not depend on the number of parts
+and nothing is joined; a Python worker holds the windows of all parts.
 
 Defined results: null or wordless texts have no words and no hits; null or
 wordless items have no windows; repeated items are each listed; an item with a
-null id is listed under the empty string; an empty benchmark hits nothing. With
-more than one part, rows of the same id are taken as one document.
+null id is listed under the empty string; an empty benchmark hits nothing; rows
+of a null or repeated id are each judged by their own text.
 """
 
 from __future__ import annotations
@@ -108,18 +109,31 @@ def occurrences(known: np.ndarray, doc: np.ndarray, windows: Windows) -> tuple[n
     return back[index.locate(rows)], which
 
 
-def scan_part(docs: DataFrame, windows: Windows, text: str, drop: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
-    """One pass with one part of the windows; with ``clean``, only the text is changed and nothing added."""
-    shared = docs.sparkSession.sparkContext.broadcast(windows)
+def scan_parts(docs: DataFrame, windows: list[Windows], text: str, drop: tuple[str, ...] = (), clean: bool = False) -> DataFrame:
+    """One pass with all parts of the windows; with ``clean``, only the text is changed and nothing added."""
+    context = docs.sparkSession.sparkContext
+    listed = [name for win in windows for name in win.names]
+    order = sorted(range(len(listed)), key=listed.__getitem__)
+    rank = np.empty(len(listed), np.int64)
+    rank[order] = np.arange(len(listed))
+    first_of = np.cumsum([0, *(len(win.names) for win in windows)])
+    shared = [context.broadcast((win, rank[at + win.place])) for win, at in zip(windows, first_of)]
+    every_name = context.broadcast([listed[i] for i in order])
 
     def work(block: pa.RecordBatch) -> dict:
-        win = shared.value
         data, off, low, start, end, doc = lowered(block.column(text))
-        n = len(off) - 1
-        place, which = occurrences(win.ids(words.hashes(low, start, end)), doc, win)
+        n, k = len(off) - 1, max(1, len(every_name.value))
+        h = words.hashes(low, start, end)
         edge = np.zeros(len(start) + 1, np.int64)
-        np.add.at(edge, place, 1)
-        np.add.at(edge, place + win.lengths[which], -1)
+        pairs = [np.zeros(0, np.int64)]
+        for part in shared:
+            win, ranks = part.value
+            place, which = occurrences(win.ids(h), doc, win)
+            np.add.at(edge, place, 1)
+            np.add.at(edge, place + win.lengths[which], -1)
+            if len(which) and not clean:
+                owned = [win.owners[w] for w in which]
+                pairs.append(np.repeat(doc[place], [len(x) for x in owned]) * k + ranks[np.concatenate(owned)])
         hit = np.cumsum(edge[:-1]) > 0
         first = hit.copy()
         first[1:] &= ~hit[:-1] | (doc[1:] != doc[:-1])
@@ -135,14 +149,12 @@ def scan_part(docs: DataFrame, windows: Windows, text: str, drop: tuple[str, ...
             [pa.array((before[start[a]] - base).astype(np.int32)), pa.array((before[end[b]] - base).astype(np.int32))], ["start", "end"]
         )
         at = np.searchsorted(doc[a], np.arange(n + 1))
-        owned = [win.owners[w] for w in which]
-        pair = np.unique(np.repeat(doc[place], [len(x) for x in owned]) * len(win.names) + win.place[np.concatenate(owned)]) if owned else np.zeros(0, np.int64)
-        k = max(1, len(win.names))
+        pair = np.unique(np.concatenate(pairs))
         return {
             "n_words": np.bincount(doc, minlength=n),
             "spans": lists(spans, at),
             "hit_lengths": lists(pa.array((b - a + 1).astype(np.int32)), at),
-            "items": lists(pa.array([win.names[i] for i in pair % k], pa.string()), np.searchsorted(pair // k, np.arange(n + 1))),
+            "items": lists(pa.array([every_name.value[i] for i in pair % k], pa.string()), np.searchsorted(pair // k, np.arange(n + 1))),
         }
 
     return map_blocks(docs, text, work, [StructField(text, StringType())] if clean else FIELDS, drop)
@@ -173,7 +185,6 @@ def parts(benchmark: DataFrame, item_id: str, text: str, width: int, part_bytes:
 def scan(
     docs: DataFrame,
     benchmark: DataFrame,
-    doc_id: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
@@ -182,66 +193,13 @@ def scan(
     drop: tuple[str, ...] = (),
 ) -> DataFrame:
     """``docs`` with n_words, merged hit spans (code points), their lengths in words, and sorted item ids."""
-    found = parts(benchmark, item_id, item_text, width, part_bytes)
-    if len(found) == 1:
-        return scan_part(docs, found[0], text, drop)
-    passes = [scan_part(docs.select(doc_id, text), w, text) for w in found]
-    every = passes[0]
-    for more in passes[1:]:
-        every = every.unionByName(more)
-    merged = every.groupBy(doc_id).agg(
-        F.max("n_words").alias("n_words"),
-        F.first(text).alias("_text"),
-        F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_sort(F.flatten(F.collect_list("items"))).alias("items"),
-    )
-    merged = merge_spans(merged, "_text").drop("_text")
-    return docs.drop(*drop, "n_words", "spans", "hit_lengths", "items").join(merged, doc_id, "left")
-
-
-def merge_spans(df: DataFrame, text: str) -> DataFrame:
-    """Overlapping or adjoining spans (only spaces or marks between them) of the passes become one."""
-
-    def work(block: pa.RecordBatch) -> dict:
-        data, off, _, start, end, doc = lowered(block.column(text))
-        before = letters_before(data)
-        spans, lengths = [], []
-        for i, own in enumerate(block.column("spans").to_pylist()):
-            mine = slice(*np.searchsorted(doc, [i, i + 1]))
-            s, e = before[start[mine]] - before[off[i]], before[end[mine]] - before[off[i]]
-            hit = np.zeros(len(s) + 1, np.int64)
-            for x in own:
-                hit[np.searchsorted(s, x["start"])] += 1
-                hit[np.searchsorted(e, x["end"]) + 1] -= 1
-            on = np.r_[False, np.cumsum(hit[:-1]) > 0, False]
-            a, b = np.flatnonzero(on[1:] & ~on[:-1]), np.flatnonzero(on[:-1] & ~on[1:])
-            spans.append([{"start": int(s[x]), "end": int(e[y - 1])} for x, y in zip(a, b)])
-            lengths.append((b - a).tolist())
-        return {"spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), "hit_lengths": pa.array(lengths, pa.list_(pa.int32()))}
-
-    return map_blocks(df, text, work, FIELDS[1:3])
+    return scan_parts(docs, parts(benchmark, item_id, item_text, width, part_bytes), text, drop)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` whose texts have lost all hit spans; other columns as they were."""
-    added = [f.name for f in FIELDS]
-    # columns that happen to have the name of an added one step aside
-    aside = {c: f"_own_{c}" for c in docs.columns if c in added}
     found = parts(benchmark, options.get("item_id", "item_id"), options.get("item_text", "text"), options.get("width", WIDTH), options.get("part_bytes", PART_BYTES))
-    if len(found) == 1:
-        return scan_part(docs, found[0], text, clean=True).select(*docs.columns)
-    found = scan(docs.withColumnsRenamed(aside), benchmark, text=text, **options)
-
-    def work(block: pa.RecordBatch) -> dict:
-        texts = block.column(text).to_pylist()
-        for i, own in enumerate(block.column("spans").to_pylist()):
-            if own:
-                at = [0, *(x for s in own for x in (s["start"], s["end"])), len(texts[i])]
-                texts[i] = "".join(texts[i][a:b] for a, b in zip(at[::2], at[1::2]))
-        return {text: pa.array(texts, pa.string())}
-
-    cleaned = map_blocks(found, text, work, [StructField(text, StringType())], drop=tuple(added))
-    return cleaned.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+    return scan_parts(docs, found, text, clean=True).select(*docs.columns)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

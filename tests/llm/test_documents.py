@@ -83,6 +83,22 @@ def test_decontaminate_digest_and_clean(spark, docs, rows, empty):
     assert not any(r.contaminated for r in decontaminate.digest(docs, bench.limit(0)).collect())
 
 
+def test_decontaminate_in_parts(spark):
+    """Null and repeated ids, repeated rows: as with one part, and as the plain version."""
+    bench = spark.createDataFrame(ITEMS, "item_id int, text string")
+    line = "The same passage of some thirty words stands in two of these texts, every window of ten or twenty words inside it is found to be there again"
+    table = [(None, line), (None, "clean"), (None, "a two words b"), (7, line), (7, f"Clean words stand before it. {line}"), (8, "two words"), (8, "two words"), (9, None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    hits = [plain_hits(t, ITEMS) for _, t in table]
+    for part_bytes in (1 << 20, 60):
+        found = decontaminate.scan(docs, bench, part_bytes=part_bytes)
+        same(found.selectExpr("doc_id", "text", "n_words", "aggregate(hit_lengths, 0, (a, x) -> a + x)", "array_join(items, ',')"), [(k, t, len(w), len(h), ",".join(sorted(map(str, n)))) for (k, t), (w, h, n) in zip(table, hits)])
+        clean = decontaminate.decontaminate(docs, bench, part_bytes=part_bytes)
+        same(clean.selectExpr("doc_id", "text is null"), [(k, t is None) for k, t in table])
+        left = Counter((r.doc_id, " ".join(ALNUM.findall(low(r.text)))) for r in clean.collect())
+        assert left == Counter((k, " ".join(x for i, x in enumerate(w) if i not in h)) for (k, _), (w, h, _) in zip(table, hits))
+
+
 # --- repeated passages ---------------------------------------------------------------
 
 
