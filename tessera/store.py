@@ -41,6 +41,30 @@ def table(df: DataFrame, name: str) -> DataFrame:
     Unlike a checkpoint it is columnar and compressed, so later passes read
     only the columns they name.
     """
-    path = f"{shared_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder of tables; nothing in it is needed once the application has ended."""
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def spent(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by :func:`table` that no later plan reads."""
+    for one in tables:
+        _delete(one.sparkSession, one.stored_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables of this application; results that still read them must have been written."""
+    _delete(spark, own_folder(spark))
