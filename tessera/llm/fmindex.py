@@ -18,10 +18,15 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
     counting patterns of that length needs.
     """
     n = len(s)
-    sa = np.argsort(s, kind="stable")
+    # the first sort already looks at as many symbols as one integer holds
+    bits = max(1, int(s.max()).bit_length())
+    k, key = min(n, max(1, 62 // bits)), np.zeros(n, np.int64)
+    for i in range(k):
+        key <<= bits
+        key[: n - i] |= s[i:]
+    sa = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int64)
-    rank[sa] = np.cumsum(np.r_[0, s[sa][1:] != s[sa][:-1]])
-    k = 1
+    rank[sa] = np.cumsum(np.r_[0, key[sa][1:] != key[sa][:-1]])
     while rank[sa[-1]] < n - 1 and (depth is None or k < depth):
         key = rank * (n + 1)
         key[:-k] += rank[k:] + 1
@@ -60,9 +65,13 @@ class Bits:
 
 
 class FMIndex:
-    """Backward search over a sequence that ends with its only 0."""
+    """Backward search over a sequence that ends with its only 0.
 
-    def __init__(self, s: np.ndarray, sigma: int, sample: int = 16, depth: int | None = None, keep_sa: bool = False):
+    Kept are the wavelet matrix and, with ``sample``, each ``sample``-th suffix
+    position; without it patterns can be counted but not located.
+    """
+
+    def __init__(self, s: np.ndarray, sigma: int, sample: int | None = 16, depth: int | None = None):
         n = len(s)
         sa = suffix_array(s, depth)
         bwt = s[sa - 1]  # position -1 is the closing 0
@@ -77,9 +86,9 @@ class FMIndex:
         first = np.cumsum(counts) - counts
         #: added to what the wavelet matrix returns, it gives the row in suffix order
         self.shift = first - self._walk(symbols, np.zeros(sigma, np.int64))
-        self.sa = sa if keep_sa else None
-        marked = sa % sample == 0
-        self.marked, self.samples = Bits(marked), sa[marked].astype(np.int64)
+        if sample:
+            marked = sa % sample == 0
+            self.marked, self.samples = Bits(marked), sa[marked].astype(np.int64)
 
     def _walk(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         for shift, bits in self.levels:

@@ -6,15 +6,18 @@ meets in one place when fragments (maximal runs of windows with one anchor) are
 dealt by anchor. Equal windows have their anchor at two places at least, so
 anchors that stand at one place in the corpus are left out before any text moves.
 
-The remaining fragments are merged by content, with their earliest place, and
-dealt to shards by anchor. An anchor with more than HOT fragments (the edge of a
-passage that very many documents share) is dealt window by window instead, by
-the hash of the window. A shard's fragments become one FM-index over word
-numbers; backward search through its wavelet matrix gives the matching
-statistics of every streamed fragment, that is the rows of all places where each
-of its windows occurs, and the least place among them tells which windows are
-the first of their kind. All other live windows are removed. So only anchors,
-fragments that may repeat, and (compressed) texts are shuffled.
+The remaining fragments (of at most LONG windows each) are merged by content,
+with their earliest place, and dealt to shards by anchor. An anchor with more than
+HOT fragments (the edge of a passage that very many documents share) is dealt
+window by window instead, by the content of the window. In a shard, windows whose
+hash stands once are the first of their kind; the others become one FM-index over
+word numbers (checked on the words' bytes). Only its wavelet matrix is kept: backward
+search counts where each of these windows occurs, so the matching statistics of the
+streamed fragments are known as far as the threshold, one window's length. A count
+that agrees with the windows of one hash proves them equal; if it does not, each is
+searched by itself. The least place among equal windows is the first of its kind,
+and all other live windows are removed. So only anchors, fragments that may repeat,
+and (compressed) texts are shuffled.
 
 Ids are integers. Defined results: a null, empty or wordless text has no words
 and the hash of the empty text; texts shorter than a window lose nothing; rows
@@ -30,6 +33,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +42,12 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 from tessera.llm import words
 from tessera.llm.blocks import map_blocks, small_batches
 from tessera.llm.fmindex import FMIndex
-from tessera.store import table
+from tessera.store import spent, table
 
 WINDOW = 20
 GRAM = 8
 HOT = 2000  # fragments of one anchor
+LONG = 512  # windows of one fragment
 SHARD_WORDS = 150_000  # of one FM-index
 LAST = (1 << 63) - 1  # order of a null id
 
@@ -87,23 +92,27 @@ class Scan:
         return np.add.reduceat((self.grams[at] == np.repeat(self.least[a], size)).astype(np.int64), np.cumsum(size) - size)
 
     def fragments(self, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Runs [a, b) of live consecutive windows with one anchor, as places among the windows."""
+        """Runs [a, b) of at most LONG live consecutive windows with one anchor, as places among the windows."""
         if not len(ok):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         joined = ok[1:] & ok[:-1] & (self.windows[1:] == self.windows[:-1] + 1) & (self.least[1:] == self.least[:-1])
         a = np.flatnonzero(ok & np.r_[True, ~joined])
         b = np.flatnonzero(ok & np.r_[~joined, True]) + 1
-        return a, b
+        n = -(-(b - a) // LONG)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        a = np.repeat(a, n) + nth * LONG
+        return a, np.minimum(a + LONG, np.repeat(b, n))
 
-    def content(self, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-        """Two hashes of the words [a, b) of each run."""
-        out = []
-        up, down = words.powers(len(self.h) + 1)
-        for h in (self.h, words.mix(self.h + np.uint64(1))):
-            total = np.zeros(len(h) + 1, np.uint64)
-            np.cumsum(h * up[: len(h)], out=total[1:])
-            out.append(words.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64))
-        return out
+    def lines(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        """The words [a, b) of each run, joined by a space."""
+        raw = self.data.tobytes()
+        return [b" ".join(raw[x:y].split()) for x, y in zip(self.start[a].tolist(), self.end[b - 1].tolist())]
+
+
+def content(lines: list[bytes]) -> list[pa.Array]:
+    """A hash of 128 bits for each line, as two columns."""
+    pairs = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.int64).reshape(-1, 2)
+    return [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -173,9 +182,9 @@ def fragments(found: DataFrame, window: int, gram: int) -> DataFrame:
             w0, w1 = scan.windows[a], scan.windows[b - 1] + window
             doc = scan.doc[w0]
             at = pa.array(doc)
-            raw = [bytes(data[i:j]) for i, j in zip(scan.start[w0].tolist(), scan.end[w1 - 1].tolist())]
+            lines = scan.lines(w0, w1)
             yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, scan.content(w0, w1)), pa.array(scan.least[a].view(np.int64)), batch.column("d").take(at), batch.column("t").take(at), pa.array(w0 - scan.first[doc]), pa.array(raw, pa.binary())],
+                [*content(lines), pa.array(scan.least[a].view(np.int64)), batch.column("d").take(at), batch.column("t").take(at), pa.array(w0 - scan.first[doc]), pa.array(lines, pa.binary())],
                 names=["f1", "f2", "a", "d", "t", "start", "words"],
             )
 
@@ -197,11 +206,11 @@ def single_windows(rows: DataFrame, window: int) -> DataFrame:
             data, off = words.utf8(b.column("words").cast(pa.large_binary()).view(pa.large_string()))
             scan = Scan(data, off, window, window)
             doc = scan.doc[scan.windows]
-            f1, f2 = scan.content(scan.windows, scan.windows + window)
             at = pa.array(doc)
             start = b.column("start").to_numpy()[doc] + scan.windows - scan.first[doc]
-            raw = [bytes(data[i:j]) for i, j in zip(scan.start[scan.windows].tolist(), scan.end[scan.windows + window - 1].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(f2), pa.array(f1), b.column("d").take(at), b.column("t").take(at), pa.array(start), pa.array(raw, pa.binary())], names=["f1", "f2", "a", "d", "t", "start", "words"])
+            lines = scan.lines(scan.windows, scan.windows + window)
+            f1, f2 = content(lines)
+            yield pa.RecordBatch.from_arrays([f1, f2, f1, b.column("d").take(at), b.column("t").take(at), pa.array(start), pa.array(lines, pa.binary())], names=["f1", "f2", "a", "d", "t", "start", "words"])
 
     return rows.select("f1", "f2", "a", "d", "t", "start", "words").mapInArrow(run, FRAGMENT)
 
@@ -211,30 +220,20 @@ def first_windows(rows: pa.Table, window: int) -> pa.Table:
     data, off = words.utf8(rows.column("words").combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
     start, end, doc = words.bounds(data, off, words.SOLID)
     d, t, s = (rows.column(c).to_numpy() for c in ("d", "t", "start"))
-    _, symbol = np.unique(words.hashes(data, start, end), return_inverse=True)
+    symbol, h, _ = words.numbers(data, start, end)
     n = len(symbol)
-    # each fragment is followed by a separator (1); the text is closed by 0
-    place = np.arange(n) + doc
-    text = np.ones(n + len(rows) + 1, np.int64)
-    text[place], text[-1] = symbol + 2, 0
-    index = FMIndex(text, int(symbol.max()) + 3, depth=window, keep_sa=True)
     within = np.arange(n) - np.searchsorted(doc, doc)
     count = np.bincount(doc, minlength=len(rows))
     windows = np.flatnonzero(within + window <= count[doc])
-    # matching statistics: rows of each window, one symbol more at each step
-    lo, hi = np.zeros(len(windows), np.int64), np.full(len(windows), index.n, np.int64)
-    for j in range(window - 1, -1, -1):
-        c = symbol[windows + j] + 2
-        both = index.step(np.r_[c, c], np.r_[lo, hi])
-        lo, hi = both[: len(windows)], both[len(windows) :]
-    rank = np.full(len(text), np.iinfo(np.int64).max)
-    order = np.lexsort((s[doc] + within, t[doc], d[doc]))
-    rank[place[order]] = np.arange(n)
-    by_row = rank[index.sa]
-    which, at = np.unique(lo, return_index=True)
-    ends = hi[at]
-    least = np.minimum.reduceat(np.r_[by_row, 0], np.stack([which, ends], 1).ravel())[::2]
-    kept = windows[least[np.searchsorted(which, lo)] == rank[place[windows]]]
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((s[doc] + within, t[doc], d[doc]))] = np.arange(n)
+    _, kind, size = np.unique(words.gram_hashes(h, window)[windows], return_inverse=True, return_counts=True)
+    again = size[kind] > 1
+    kept = np.zeros(len(windows), bool)
+    kept[~again] = True
+    if again.any():
+        kept[again] = first_of_kind(symbol, doc, windows[again], kind[again], rank, window)
+    kept = windows[kept]
     if not len(kept):
         return pa.table({"d": pa.array([], pa.int64()), "t": pa.array([], pa.int64()), "start": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
     new = np.flatnonzero(np.r_[True, (kept[1:] != kept[:-1] + 1) | (doc[kept[1:]] != doc[kept[:-1]])])
@@ -242,6 +241,35 @@ def first_windows(rows: pa.Table, window: int) -> pa.Table:
     return pa.table({"d": d[own], "t": t[own], "start": s[own] + within[kept[new]], "n": np.diff(np.r_[new, len(kept)])})
 
 
+def first_of_kind(symbol: np.ndarray, doc: np.ndarray, windows: np.ndarray, kind: np.ndarray, rank: np.ndarray, window: int) -> np.ndarray:
+    """Which of these windows (their first words' places) have the least rank among equal ones; equal windows have one kind."""
+    cover = np.zeros(len(symbol) + 1, np.int64)
+    np.add.at(cover, windows, 1)
+    np.add.at(cover, windows + window, -1)
+    held = np.flatnonzero(np.cumsum(cover[:-1]) > 0)  # words of the index: those of windows that may be equal
+    _, own = np.unique(symbol[held], return_inverse=True)
+    # a separator (1) stands between runs of words; the text is closed by 0
+    place = np.arange(len(held)) + np.cumsum(np.r_[0, (held[1:] != held[:-1] + 1) | (doc[held[1:]] != doc[held[:-1]])])
+    text = np.ones(place[-1] + 2, np.int64)
+    text[place], text[-1] = own + 2, 0
+    index = FMIndex(text, int(own.max()) + 3, sample=None, depth=window)
+    at = np.searchsorted(held, windows)
+
+    def interval(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return index.search(own[at[which][:, None] + np.arange(window)] + 2)
+
+    _, first, kind, size = np.unique(kind, return_index=True, return_inverse=True, return_counts=True)
+    lo, hi = interval(first)
+    row = lo[kind]
+    mixed = np.flatnonzero((hi - lo != size)[kind])  # different windows of one hash
+    if len(mixed):
+        row[mixed] = interval(mixed)[0]
+    _, group = np.unique(row, return_inverse=True)
+    least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, rank[windows])
+    return rank[windows] == least[group]
+
+
 def first_places(shards: DataFrame, window: int, tasks: int) -> DataFrame:
     """Runs of first windows of all fragments; fragments of one shard key meet in one index."""
 
@@ -277,6 +305,7 @@ def removals(rows: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFr
     each = anchors(rows, window, gram)
     twice = table(each.groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a"), "anchors")
     own = table(each.join(twice, "a").groupBy("d", "t").agg(F.collect_set("a").alias("anchors")), "own-anchors")
+    spent(twice)
     some = table(merged(fragments(packed(rows).join(own, ["d", "t"]), window, gram)), "fragments")
     sizes = some.groupBy("a").agg(F.count("*").alias("k"), F.sum(F.length("words")).alias("bytes"))
     hot = table(sizes.where(F.col("k") > HOT).select("a"), "hot-anchors")
@@ -286,7 +315,9 @@ def removals(rows: DataFrame, window: int, gram: int) -> tuple[DataFrame, DataFr
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / (16 << 20)))
     firsts = first_places(cold.select("a", "d", "t", "start", "words").unionByName(single.select("a", "d", "t", "start", "words")), window, tasks)
     runs = firsts.groupBy("d", "t").agg(F.collect_list(F.struct("start", "n")).alias("firsts"))
-    return own, table(runs, "first-windows")
+    runs = table(runs, "first-windows")
+    spent(some, hot)
+    return own, runs
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -1,9 +1,8 @@
 """Vectorised words over Arrow batches of UTF-8 texts.
 
 The bytes of a whole block of documents are handled at once: a 256-entry
-class table tells which bytes belong to words, and a 64-bit polynomial hash
-of each word comes from one cumulative sum, so no Python object is made for a
-word.
+class table tells which bytes belong to words, and a 64-bit hash of each word
+comes from one cumulative sum, so no Python object is made for a word.
 """
 
 from __future__ import annotations
@@ -30,7 +29,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _BASE = U64(0x9E3779B97F4A7C15)
-_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,19 +41,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * _BASE)
-_powers = [np.ones(1, U64), np.ones(1, U64)]
+NEAR = 64  # places of a slice whose bytes' values come from a table
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash's base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for i, base in enumerate((_BASE, _INVERSE)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+def _value(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A random-looking value for each byte at its place in a slice."""
+    return mix((place.astype(U64) << U64(8) | byte.astype(U64)) * _BASE + U64(1))
+
+
+_TABLE = _value(*np.mgrid[:NEAR, :256])
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,19 +95,55 @@ def bounds(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.nda
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice of ``data``; equal slices have equal hashes."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(U64) * _BASE)
+    """A 64-bit hash of each slice of ``data``; equal slices have equal hashes.
+
+    Each byte adds a value that depends on it and on its place in the slice, so
+    there is no base whose powers make regular texts collide.
+    """
+    size = ends - starts
+    total = np.zeros(len(size), U64)
+    short = np.flatnonzero(size <= NEAR)
+    order = short[np.argsort(size[short].astype(np.int8), kind="stable")[::-1]]  # longest first, so that place p concerns the first reach[p]
+    reach = len(order) - np.cumsum(np.bincount(size[short], minlength=NEAR + 1))
+    at, own = starts[order], np.zeros(len(order), U64)
+    for p in range(NEAR):
+        k = reach[p]
+        if not k:
+            break
+        own[:k] += _TABLE[p][data[at[:k] + p]]
+    total[order] = own
+    for i in np.flatnonzero(size > NEAR).tolist():
+        total[i] = _value(np.arange(size[i]), data[starts[i] : ends[i]]).sum()
+    return mix(total + size.astype(U64) * _BASE)
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n consecutive word hashes; len(h) - n + 1 of them."""
     if len(h) < n:
         return np.zeros(0, U64)
-    up, down = powers(len(h) + 1)
-    total = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[n:] - total[:-n]) * down[: len(h) - n + 1])
+    out = np.zeros(len(h) - n + 1, U64)
+    for i, odd in enumerate(mix(np.arange(1, n + 1, dtype=U64) * _BASE) | U64(1)):
+        out += h[i : len(h) - n + 1 + i] * odd
+    return mix(out)
+
+
+def slices_equal(one: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the bytes one[a : a + size] are those at other[b : b + size], for each place."""
+    last = np.cumsum(size)
+    place = np.arange(last[-1] if len(last) else 0) - np.repeat(last - size, size)
+    wrong = np.zeros(len(place) + 1, np.int64)
+    np.cumsum(one[place + np.repeat(a, size)] != other[place + np.repeat(b, size)], out=wrong[1:])
+    return wrong[last] == wrong[last - size]
+
+
+def numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(numbers, hashes, count): equal slices, and only those, have one number from 0; hashes are checked on the bytes."""
+    h = hashes(data, starts, ends)
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    size, count = ends - starts, len(first)
+    same = size == size[first][number]
+    same[same] = slices_equal(data, starts[same], data, starts[first][number][same], size[same])
+    odd: dict[bytes, int] = {}
+    for i in np.flatnonzero(~same).tolist():  # slices whose hash another one has
+        number[i] = odd.setdefault(data[starts[i] : ends[i]].tobytes(), count + len(odd))
+    return number, h, count + len(odd)

@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from tessera.llm import classify, decontaminate, pack, pii, secrets, shard, simhash, substrings
+from tessera.llm import classify, decontaminate, pack, pii, secrets, shard, simhash, substrings, words
 
 DATA = "/root/testdata/sf0.001"
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -60,8 +61,6 @@ def test_decontaminate(spark, docs, rows, part_bytes):
     bench = spark.createDataFrame(ITEMS, "item_id int, text string")
     found = decontaminate.scan(docs.select("doc_id", "text").dropDuplicates(), bench, part_bytes=part_bytes)
     for r in found.collect():
-        if r.doc_id is None and part_bytes < 1000:
-            continue  # joined by id
         words, hit, names = plain_hits(r.text, ITEMS)
         assert (r.n_words, sum(r.hit_lengths), sorted(set(r["items"]))) == (len(words), len(hit), sorted(map(str, names)))
         for s in r.spans:
@@ -136,6 +135,41 @@ def test_substrings(docs, rows, empty, hot, monkeypatch):
         assert substrings.digest(empty).count() == 0
 
 
+def mirrored(n):
+    """Two different regular words of n letters; hashes by powers of one base modulo 2**64 cannot tell them apart."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_regular_words_are_told_apart(spark, n):
+    one, other = mirrored(n)
+    line = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{line} {one}"), (2, f"{line} {other}")], "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed) for r in substrings.digest(docs).collect()} == {1: (20, 0), 2: (20, 0)}
+    bench = spark.createDataFrame([(1, f"a b c d e f g h i {other}")], "item_id int, text string")
+    docs = spark.createDataFrame([(1, f"a b c d e f g h i {one}"), (2, f"a b c d e f g h i {other}")], "doc_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.digest(docs, bench).collect()} == {1: 0, 2: 10}
+
+
+def test_numbers_of_words_with_equal_hashes(monkeypatch):
+    monkeypatch.setattr(words, "hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    data = np.frombuffer(b"aa b aa cc b dd aa", np.uint8)
+    starts, ends, _ = words.bounds(data, np.array([0, len(data)]), words.SOLID)
+    number = words.numbers(data, starts, ends)[0]
+    assert [number.tolist().index(x) for x in number] == [0, 1, 0, 3, 1, 5, 0]
+
+
+def test_windows_with_equal_hashes(monkeypatch):
+    """Windows that only their hashes take for equal are told apart by the index."""
+    lines = [" ".join(f"{k}{i % 7}" for i in range(30)) for k in "abab"]
+    rows = pa.table({"words": pa.array([x.encode() for x in lines]), "d": [1, 2, 3, 4], "t": [0] * 4, "start": [0] * 4})
+    want = substrings.first_windows(rows, 20).to_pylist()
+    monkeypatch.setattr(words, "gram_hashes", lambda h, n: np.zeros(max(0, len(h) - n + 1), np.uint64))
+    assert substrings.first_windows(rows, 20).to_pylist() == want
+    assert {(r["d"], r["start"], r["n"]) for r in want} == {(1, 0, 7), (2, 0, 7)}
+
+
 # --- spans ---------------------------------------------------------------------------
 
 PII = {
