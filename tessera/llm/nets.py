@@ -50,17 +50,17 @@ def fit(net, docs: list[tuple[np.ndarray, ...]], y: np.ndarray, visits: int, bat
 class ByteNet:
     """Filters of WIDTH bytes over overlapping chunks that cover the whole text.
 
-    A position's input is the byte's learned embedding and a flag that its word
-    repeats the word before. Each filter's largest answer in each chunk is
-    taken; a document has the largest and the mean of its chunks' answers.
+    A place's input is the learned embeddings of its bytes, and nothing else. Each
+    filter is max-pooled in each chunk; the chunks of a document are combined into
+    one probability by the largest and the mean of their answers.
     """
 
-    WIDTH, STRIDE, DIM, FILTERS, HALF = 8, 4, 7, 24, 32  # a chunk is two halves of HALF filter places
-    SLICE = 512
+    WIDTH, STRIDE, DIM, FILTERS, HALF = 16, 4, 8, 32, 32  # a chunk is two halves of HALF filter places
+    SLICE = 512  # halves whose answers are held at once when texts are scored
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
-        n = self.WIDTH * (self.DIM + 1)
+        n = self.WIDTH * self.DIM
         self.p = {
             "e": rng.normal(0, 0.5, (256, self.DIM)).astype(np.float32),
             "k": rng.normal(0, (2 / n) ** 0.5, (n, self.FILTERS)).astype(np.float32),
@@ -71,27 +71,20 @@ class ByteNet:
 
     @classmethod
     def prepare(cls, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Bytes padded to whole filter places, repeat flags, and places of each document."""
-        start, end, doc = words.bounds(data, off, words.SOLID)
-        h = words.hashes(data, start, end)
-        same = np.flatnonzero((h[1:] == h[:-1]) & (doc[1:] == doc[:-1])) + 1
-        flag = np.zeros(len(data) + 1, np.int32)
-        flag[start[same]] += 1
-        flag[end[same]] -= 1
-        again = np.cumsum(flag[:-1]) > 0
+        """Bytes padded to whole filter places, and places of each document."""
         size = np.diff(off)
         places = np.maximum(1, -(-(size - cls.WIDTH) // cls.STRIDE) + 1)
         # every document gets room for its places and for the tail of the last one
         room = (places + (cls.WIDTH // cls.STRIDE - 1)) * cls.STRIDE
         begin = np.cumsum(room) - room
         at = np.arange(len(data)) + np.repeat(begin - off[:-1], size)
-        out, rep = np.zeros(int(room.sum()), np.uint8), np.zeros(int(room.sum()), np.float32)
-        out[at], rep[at] = data, again
-        return out, rep, places
+        out = np.zeros(int(room.sum()), np.uint8)
+        out[at] = data
+        return out, places
 
     @staticmethod
     def join(docs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-        return tuple(np.concatenate([d[i] for d in docs]) for i in range(3))
+        return tuple(np.concatenate([d[i] for d in docs]) for i in range(2))
 
     def firsts(self, places: np.ndarray) -> np.ndarray:
         """The first cell (of STRIDE bytes) of each filter place."""
@@ -99,13 +92,10 @@ class ByteNet:
         room = np.cumsum(places + spare) - places - spare
         return np.repeat(room - (np.cumsum(places) - places), places) + np.arange(places.sum())
 
-    def windows(self, data: np.ndarray, rep: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def windows(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Filter inputs, one row for each place; ``first`` ascends."""
         k = self.WIDTH // self.STRIDE
-        own = slice(first[0] * self.STRIDE, (first[-1] + k) * self.STRIDE)
-        x = np.empty((own.stop - own.start, self.DIM + 1), np.float32)
-        x[:, :-1] = self.p["e"][data[own]]
-        x[:, -1] = rep[own]
+        x = self.p["e"][data[first[0] * self.STRIDE : (first[-1] + k) * self.STRIDE]]
         cells = x.reshape(len(x) // self.STRIDE, -1)
         return np.concatenate([cells[first - first[0] + i] for i in range(k)], axis=1)
 
@@ -132,22 +122,22 @@ class ByteNet:
 
     def logits(self, prepared: tuple[np.ndarray, ...]) -> np.ndarray:
         """Documents' scores before the sigmoid; filters run over SLICE halves at a time, however long a text is."""
-        data, rep, places = prepared
+        data, places = prepared
         at, *chunked = self.layout(places)
         first = self.firsts(places)
         half = np.empty((len(at), self.FILTERS), np.float32)
         ends = np.r_[at[1:], len(first)]
         for i in range(0, len(at), self.SLICE):
             a, b = at[i], ends[min(i + self.SLICE, len(at)) - 1]
-            z = self.windows(data, rep, first[a:b]) @ self.p["k"] + self.p["b"]
+            z = self.windows(data, first[a:b]) @ self.p["k"] + self.p["b"]
             half[i : i + self.SLICE] = np.maximum.reduceat(z, at[i : i + self.SLICE] - a, axis=0)
         np.maximum(half, 0, out=half)
         return self.features(half, *chunked)[0] @ self.p["v"] + self.p["c"][0]
 
     def gradients(self, prepared: tuple[np.ndarray, ...], y: np.ndarray) -> dict[str, np.ndarray]:
-        data, rep, places = prepared
+        data, places = prepared
         first = self.firsts(places)
-        x = self.windows(data, rep, first)
+        x = self.windows(data, first)
         z = np.maximum(x @ self.p["k"] + self.p["b"], 0)
         at, left, right, c0, chunks = self.layout(places)
         half = np.maximum.reduceat(z, at, axis=0)
@@ -156,19 +146,23 @@ class ByteNet:
         g = {"v": f.T @ d + 1e-4 * self.p["v"], "c": d.sum(keepdims=True)}
         df = d[:, None] * self.p["v"]
         doc = np.repeat(np.arange(len(places)), chunks)
-        dchunk = (df[doc, self.FILTERS :] / chunks[doc][:, None]) + np.where(chunk == top[doc], df[doc, : self.FILTERS], 0)
+        best = chunk == top[doc]  # answers that tie share the gradient
+        share = df[:, : self.FILTERS] / np.add.reduceat(best, c0, axis=0, dtype=np.float32)
+        dchunk = (df[doc, self.FILTERS :] / chunks[doc][:, None]) + np.where(best, share[doc], 0)
         dhalf = np.zeros_like(half)
         takes = half[left] >= half[right]
         np.add.at(dhalf, left, np.where(takes, dchunk, 0))
         np.add.at(dhalf, right, np.where(takes, 0, dchunk))
         own = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(z)]))
-        dz = np.where((z == half[own]) & (z > 0), dhalf[own], 0)
+        best = z == half[own]
+        share = dhalf / np.add.reduceat(best, at, axis=0, dtype=np.float32)
+        dz = np.where(best & (z > 0), share[own], 0)
         g["b"] = dz.sum(0)
         g["k"] = x.T @ dz + 1e-4 * self.p["k"]
         used = np.flatnonzero(dz.any(1))
         dx = dz[used] @ self.p["k"].T
         byte = data[(first[used][:, None] * self.STRIDE + np.arange(self.WIDTH)).ravel()]
-        dx = dx.reshape(-1, self.DIM + 1)
+        dx = dx.reshape(-1, self.DIM)
         g["e"] = np.stack([np.bincount(byte, dx[:, j], 256) for j in range(self.DIM)], 1).astype(np.float32)
         return g
 
@@ -181,12 +175,13 @@ class WordNet:
 
     A word's embedding is the row of its own bucket next to the rows of the
     buckets of its stems (its first STEMS bytes), so that inflected forms that
-    training has not seen share what was learned of the stem.
+    training has not seen share what was learned of the stem. All weights start
+    at random and are learned.
     """
 
     BUCKETS, DIM, WIDTHS, FILTERS, STEMS = 1 << 16, 4, (1, 2, 3), 8, (4, 5, 6)
     PARTS = 1 + len(STEMS)
-    SHRINK = 4.0  # documents that a bucket must outweigh before its start value counts
+    SLICE = 1 << 15  # words whose answers are held at once when texts are scored
 
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
@@ -217,21 +212,12 @@ class WordNet:
     def join(docs: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
         return tuple(np.concatenate([d[i] for d in docs]) for i in range(2))
 
-    def start_from(self, docs: list[tuple[np.ndarray, ...]], y: np.ndarray) -> None:
-        """Start values: a bucket's shrunken log-odds of standing in a text of label 1, one filter for each part."""
-        n1, n0 = max(1.0, y.sum()), max(1.0, (1 - y).sum())
-        pos, neg = np.zeros(self.BUCKETS + 1), np.zeros(self.BUCKETS + 1)
-        for (b, _), label in zip(docs, y):
-            (pos if label else neg)[np.unique(b)] += 1
-        base = n1 / (n1 + n0)
-        odds = np.log((pos + self.SHRINK * base) / (neg + self.SHRINK * (1 - base))) - np.log(n1 / n0)
-        odds[self.BUCKETS] = 0
-        self.p["e"][:, 0] = odds
-        for w in self.WIDTHS:
-            for part in range(self.PARTS):
-                self.p[f"k{w}"][part * self.DIM :: self.PARTS * self.DIM, part] = 1.0 / w
-                self.p[f"b{w}"][part] = -0.5
-        self.p["v"][: self.PARTS] = 0.5
+    @staticmethod
+    def own_places(z: np.ndarray, ends: np.ndarray, w: int) -> None:
+        """No answer (0, the least) where a filter of w words reaches beyond the room after its document."""
+        for i in range(1, w):
+            at = ends - i
+            z[at[(at >= 0) & (at < len(z))]] = 0
 
     def features(self, bucket: np.ndarray, room: np.ndarray):
         x = self.p["e"][bucket].reshape(len(bucket), -1)
@@ -240,13 +226,32 @@ class WordNet:
         for w in self.WIDTHS:
             cells = np.concatenate([x[i : len(x) - w + 1 + i] for i in range(w)], 1) if w > 1 else x
             z = np.maximum(cells @ self.p[f"k{w}"] + self.p[f"b{w}"], 0)
-            # the room after each document keeps its words from meeting the next one's
+            self.own_places(z, np.cumsum(room), w)
             parts.append(np.maximum.reduceat(z, begin, axis=0))
             kept.append((cells, z))
         return np.concatenate(parts, 1), kept
 
     def logits(self, prepared: tuple[np.ndarray, ...]) -> np.ndarray:
-        return self.features(*prepared)[0] @ self.p["v"] + self.p["c"][0]
+        """Documents' scores before the sigmoid; filters run over SLICE words at a time, however long a text is."""
+        bucket, room = prepared
+        top = np.zeros((len(room), len(self.WIDTHS) * self.FILTERS), np.float32)
+        ends, spare = np.cumsum(room), max(self.WIDTHS) - 1
+        for a in range(0, len(bucket), self.SLICE):
+            b = min(a + self.SLICE, len(bucket))
+            docs = np.arange(np.searchsorted(ends, a, "right"), np.searchsorted(ends, b - 1, "right") + 1)
+            begin = np.maximum((ends - room)[docs], a) - a
+            x = self.p["e"][bucket[a : b + spare]].reshape(-1, self.PARTS * self.DIM)
+            for i, w in enumerate(self.WIDTHS):
+                n = min(b - a, len(x) - w + 1)  # the last places of all texts stand after the last word
+                if n <= 0:
+                    continue
+                cells = np.concatenate([x[j : n + j] for j in range(w)], 1)
+                z = np.maximum(cells @ self.p[f"k{w}"] + self.p[f"b{w}"], 0)
+                self.own_places(z, ends[docs] - a, w)
+                some = begin < n
+                own = (docs[some], slice(i * self.FILTERS, (i + 1) * self.FILTERS))
+                top[own] = np.maximum(top[own], np.maximum.reduceat(z, begin[some], axis=0))
+        return top @ self.p["v"] + self.p["c"][0]
 
     def gradients(self, prepared: tuple[np.ndarray, ...], y: np.ndarray) -> dict[str, np.ndarray]:
         bucket, room = prepared
@@ -257,8 +262,9 @@ class WordNet:
         for i, w in enumerate(self.WIDTHS):
             cells, z = kept[i]
             own = slice(i * self.FILTERS, (i + 1) * self.FILTERS)
-            df = d[:, None] * self.p["v"][own]
-            dz = np.where((z > 0) & (z == f[doc[: len(z)], own]), df[doc[: len(z)]], 0)
+            best = z == f[doc[: len(z)], own]  # answers that tie share the gradient
+            df = d[:, None] * self.p["v"][own] / np.add.reduceat(best, np.cumsum(room) - room, axis=0, dtype=np.float32)
+            dz = np.where((z > 0) & best, df[doc[: len(z)]], 0)
             g[f"k{w}"], g[f"b{w}"] = cells.T @ dz + 1e-4 * self.p[f"k{w}"], dz.sum(0)
             used = np.flatnonzero(dz.any(1))
             dx = (dz[used] @ self.p[f"k{w}"].T).reshape(len(used), w, self.PARTS, self.DIM)
