@@ -40,15 +40,21 @@ good AS (
               lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(ascii(c) - 48 AS BIGINT) ELSE CAST(ascii(c) - 55 AS BIGINT) END)),
               lambda a, d: CASE WHEN d < 10 THEN (a * 10 + d) % 97 ELSE (a * 100 + d) % 97 END) = 1
         ELSE true END),
-line AS (SELECT *, kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR) AS part FROM good),
+told AS (SELECT *, substr(text, CAST(greatest(1, s + 1 - 40) AS BIGINT), CAST(least(40, s) AS BIGINT)) AS before FROM good JOIN documents USING (doc_id)),
+line AS (SELECT *, kind || ':' || CAST(s AS VARCHAR) || ':' || CAST(e AS VARCHAR) AS part,
+    CASE kind WHEN 'email' THEN 90 + 10 * CAST(regexp_matches(before, '(?i)mail|contact|write to') AS INT)
+        WHEN 'ip' THEN 60 + 10 * CAST(regexp_matches(before, '(?i)\bip\b|address|host|server') AS INT)
+        WHEN 'card' THEN 70 + 10 * CAST(regexp_matches(before, '(?i)card|visa|credit|carte|karte|tarjeta') AS INT)
+        WHEN 'phone' THEN 60 + 10 * CAST(regexp_matches(before, '(?i)phone|call|tel|mobile') AS INT)
+        ELSE 90 + 10 * CAST(regexp_matches(before, '(?i)iban|account|bank|konto|compte|cuenta') AS INT) END AS score FROM told),
 by_doc AS (
     SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
            count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
            string_agg(part, ',' ORDER BY s, rank) FILTER (kind <> 'iban') AS base,
-           string_agg(part, ',' ORDER BY s, rank) AS spans
+           string_agg(part, ',' ORDER BY s, rank) AS spans, string_agg(CAST(score AS VARCHAR), ',' ORDER BY s, rank) AS scores
     FROM line GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
-       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM documents d LEFT JOIN by_doc USING (doc_id)
 """
 
@@ -93,7 +99,7 @@ valued AS (SELECT *, CASE WHEN kind = 'assign' THEN regexp_extract(hit, $re${_AS
 good AS (
     SELECT * FROM valued WHERE CASE kind WHEN 'assign' THEN length(v) >= 6 WHEN 'access' THEN length(v) >= 20 WHEN 'hex' THEN length(v) >= 24
         ELSE length(v) >= 32 AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') END),
-live AS (SELECT v FROM good JOIN documents USING (doc_id) GROUP BY v HAVING count(DISTINCT source) <= 2),
+live AS (SELECT v FROM good JOIN documents USING (doc_id) GROUP BY v HAVING count(DISTINCT source) <= 2 AND count(DISTINCT doc_id) <= 20),
 every AS (
     SELECT doc_id, kind, rank, s, e FROM good WHERE rank <= 3 OR v IN (SELECT v FROM live)
     UNION ALL SELECT DISTINCT doc_id, 'live', 5, e - length(v), e FROM good WHERE v IN (SELECT v FROM live)),

@@ -107,7 +107,7 @@ def count(found: Column, kind: str) -> Column:
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and places by document, from :func:`find_pii`'s spans."""
+    """Counts, places and scores (in hundredths, in the order of ``spans``) by document, from :func:`find_pii`'s spans."""
     found = find_pii(docs.select(id_col, text), text, "pii")
     base = F.filter("pii", lambda s: s["kind"].isin(BASE))
     return found.select(
@@ -115,4 +115,5 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
         *[count(F.col("pii"), kind).alias(f"n_{kind}") for kind in BASE],
         F.sha2(joined(base, KINDS), 256).alias("base_sha256"),
         joined(F.col("pii"), KINDS).alias("spans"),
+        joined(F.col("pii"), KINDS, lambda s: F.round(s["score"] * 100).cast("int").cast("string")).alias("scores"),
     )

@@ -2,12 +2,15 @@
 
 Patterns propose candidates in each text. The hash of each candidate's value is
 counted over the whole corpus by distinct repositories and distinct owners: a
-value with many owners is a widely copied example, one that belongs to at most
-``most_owners`` owners looks live. Live values add a span of kind ``live``;
+value with many owners, or in many repositories even of one owner, is a widely
+copied example; one of at most ``most_owners`` owners and ``most_repos``
+repositories looks live. Live values add a span of kind ``live``;
 opaque tokens (long mixed strings that no base pattern names) are reported only
 when they look live. Base spans are always reported.
 
-Only narrow rows (ids, places, hashes) are shuffled, never texts.
+Only narrow rows (ids, places, hashes) are shuffled, and texts only where they
+hold a candidate. One pattern tells which texts may, so that the others are read
+over once.
 
 Defined results: null and empty texts have no spans; null owners or
 repositories count as one of their own; rows that repeat both id and text share
@@ -39,7 +42,9 @@ PATTERNS = {
 BASE = ["assign", "access", "hex"]
 KINDS = [*BASE, "opaque", "live"]
 LEAST_ASSIGNED = 6
-MOST_OWNERS = 2
+MOST_OWNERS, MOST_REPOS = 2, 20
+#: stands in every text that has a candidate
+HINT = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6}|AKIA[A-Z0-9]{16}|(?<![0-9a-f])[0-9a-f]{24}|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{32}"""
 MASK = "[SECRET]"
 
 
@@ -62,9 +67,13 @@ def kind_candidates(text: Column, kind: str) -> Column:
     )
 
 
+def hinted(text: Column) -> Column:
+    return F.coalesce(text.rlike(HINT), F.lit(False))
+
+
 def candidates(text: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return F.concat(*[kind_candidates(text, kind) for kind in PATTERNS])
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,at:int,h:string>>")
+    return F.when(hinted(text), F.concat(*[kind_candidates(text, kind) for kind in PATTERNS])).otherwise(none)
 
 
 def ownership(found: DataFrame, owner: str, repo: str) -> DataFrame:
@@ -73,7 +82,7 @@ def ownership(found: DataFrame, owner: str, repo: str) -> DataFrame:
     return one.groupBy("h").agg(F.count_distinct("o").alias("owners"), F.count_distinct("r").alias("repos"))
 
 
-def judged(docs: DataFrame, doc_id: str, text: str, owner: str, repo: str, most_owners: int) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame, doc_id: str, text: str, owner: str, repo: str, most_owners: int, most_repos: int) -> tuple[DataFrame, DataFrame]:
     """Narrow rows of all documents with their candidates, and the judged candidates by id and text hash."""
     found = table(
         docs.select(F.col(doc_id).alias("_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"), F.col(owner).alias("_owner"), F.col(repo).alias("_repo"), candidates(F.col(text)).alias("_found")),
@@ -82,7 +91,7 @@ def judged(docs: DataFrame, doc_id: str, text: str, owner: str, repo: str, most_
     some = found.where(F.size("_found") > 0)
     freq = table(ownership(some, "_owner", "_repo"), "ownership")
     each = some.select("_id", "_t", F.explode("_found").alias("c")).select("_id", "_t", F.col("c.h").alias("h"), "c").join(freq, "h")
-    row = F.struct("c.kind", "c.start", "c.end", "c.at", "owners", "repos", (F.col("owners") <= most_owners).alias("live"))
+    row = F.struct("c.kind", "c.start", "c.end", "c.at", "owners", "repos", ((F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)).alias("live"))
     grouped = each.groupBy("_id", "_t").agg(F.collect_set(row).alias("secrets"))
     return found, grouped.select(F.col("_id").alias("_sid"), F.col("_t").alias("_st"), "secrets")
 
@@ -94,11 +103,11 @@ def all_spans(secrets: Column) -> Column:
     return F.concat(F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), live)
 
 
-def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
+def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
     """``docs`` with base and live spans replaced by MASK; texts without a candidate are not shuffled."""
-    _, secrets = judged(docs, doc_id, text, owner, repo, most_owners)
+    _, secrets = judged(docs, doc_id, text, owner, repo, most_owners, most_repos)
     secrets = secrets.select("_sid", "_st", all_spans(F.col("secrets")).alias("_spans"))
-    has = F.size(candidates(F.col(text))) > 0
+    has = hinted(F.col(text))
     dirty = docs.where(has).withColumn("_t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     dirty = dirty.join(secrets, F.col(doc_id).eqNullSafe(F.col("_sid")) & (F.col("_t") == F.col("_st")), "left").drop("_sid", "_st", "_t")
 
@@ -119,7 +128,7 @@ def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id") -> DataFrame:
     """Counts and places by document."""
-    found, secrets = judged(docs, doc_id, text, owner, repo, MOST_OWNERS)
+    found, secrets = judged(docs, doc_id, text, owner, repo, MOST_OWNERS, MOST_REPOS)
     both = found.join(secrets, F.col("_id").eqNullSafe(F.col("_sid")) & (F.col("_t") == F.col("_st")), "left").select(
         F.col("_id").alias("doc_id"), F.filter("_found", lambda s: s["kind"].isin(BASE)).alias("base"), F.coalesce(all_spans(F.col("secrets")), F.array().cast("array<struct<kind:string,start:int,end:int>>")).alias("every")
     )

@@ -71,14 +71,19 @@ def find(text: Column, kind: str, pattern: str) -> Column:
     )
 
 
-def joined(spans: Column, kinds: list[str]) -> Column:
-    """``kind:start:end`` of all spans, by start and then by the order of ``kinds``, comma-joined."""
+def named(s: Column) -> Column:
+    return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+
+
+def joined(spans: Column, kinds: list[str], part: Callable[[Column], Column] = named) -> Column:
+    """``kind:start:end`` (or what ``part`` makes) of all spans, by start and then by the order of ``kinds``, comma-joined."""
     keyed = F.transform(
         spans,
         lambda s: F.struct(
             s["start"].alias("start"),
             F.array_position(F.array(*[F.lit(k) for k in kinds]), s["kind"]).alias("rank"),
-            F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")).alias("text"),
+            s["end"].alias("end"),
+            part(s).alias("text"),
         ),
     )
     return F.array_join(F.transform(F.array_sort(keyed), lambda s: s["text"]), ",")
