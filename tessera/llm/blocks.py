@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +58,22 @@ def _arrow(field: StructField) -> pa.DataType:
     return to_arrow_type(field.dataType)
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of one key after the other, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(key).to_numpy()
+        edges = np.r_[0, np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys)]
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if a < b:
+                if held and held[-1].column(key)[0].as_py() != keys[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
     """A list array from flat values and n + 1 offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)

@@ -14,13 +14,17 @@ Equal fingerprints are merged before anything else. Shingles are of 3 words, as
 the query's contract asks; ``width`` and ``radius`` are parameters.
 
 :func:`dedup_similar` removes texts whose distinct shingles of ``width`` words
-have a Jaccard similarity of ``like`` or more. Candidates share one of BANDS keys
-of ROWS least hashes: a pair at 0.8 shares none with a chance of 2 in 100,000, a
-closer one with less, whatever the table's size; that chance is all that may be
-missed. Every link is then decided on the shingles' hashes themselves. First each
-key's rows meet one of them, another for each key; groups of similar texts so
-become components by few pairs. Then all rows of a key that are still in different
-components meet each other, so that no candidate pair is left undecided.
+have a Jaccard similarity of ``like`` or more. Texts near to each other share one of
+BANDS keys of ROWS least hashes: a pair at 0.8 shares none with a chance of 2 in
+100,000, a closer one with less, whatever the table's size. A key's texts are a shard.
+Fingerprints of the distinct shingles propose pairs, at a radius that a pair at 0.8
+exceeds with a chance below 1 in 10,000 (it differs in 9.7 bits, with a deviation of
+2.9); the shingles' hashes themselves decide each. First each shard's texts meet one of
+them, another for each key, so that groups of similar texts become components by few
+pairs. Then shards that still hold several components become BK-trees over their
+fingerprints, dealt in pairs of parts; each search decides its pairs in its task, each
+pair in the first shard that it shares, and gives only links that unite components. So
+no list of pairs is made, however large and loose a group of near copies is.
 
 Defined results: a null, empty or wordless text has fingerprint zero, linked
 like any other; a text of fewer words than a shingle is one shingle; rows with
@@ -42,9 +46,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField
 
 from tessera.llm import words
-from tessera.llm.blocks import lists, map_blocks
+from tessera.llm.blocks import lists, map_blocks, whole_groups
 from tessera.operators import graph
-from tessera.store import table
+from tessera.store import spent, table
 
 WIDTH, RADIUS, SEED = 3, 3, 42
 MOST = 512  # fingerprints of one tree
@@ -53,7 +57,9 @@ PER_TASK = 100_000  # fingerprints of all trees in a task
 # of dedup_similar
 WIDE, LIKE = 5, 0.8
 BANDS, ROWS = 36, 6
-MOST_LONG = 4096
+WIDE_RADIUS = 24  # bits
+MOST_LONG = 1024  # texts of one tree
+TREE_BYTES = 32 << 20  # of shingle hashes of all trees in a task
 
 
 def shingles(raw: bytes, width: int) -> list[int]:
@@ -68,25 +74,25 @@ def shingles(raw: bytes, width: int) -> list[int]:
     return [digest(line[a:b], SEED) for a, b in zip(start[: len(own) - width + 1].tolist(), end[width - 1 :].tolist())]
 
 
-def fingerprint(texts: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """SimHash of each text, as unsigned 64-bit integers."""
-    hashed: list[int] = []
-    sizes = np.zeros(len(texts), np.int64)
-    for i, raw in enumerate(texts):
-        own = shingles(raw, width)
-        hashed += own
-        sizes[i] = len(own)
-    out = np.zeros(len(texts), np.uint64)
+def majority(hashed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHash of each run of hashes; a bit is 1 if set in over half of them."""
+    out = np.zeros(len(sizes), np.uint64)
     some = np.flatnonzero(sizes)
     if len(some):
-        bits = np.unpackbits(np.array(hashed, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[some], axis=0, dtype=np.int64)
         out[some] = np.packbits(ones * 2 > sizes[some][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
-def sketch(texts: list[bytes], width: int = WIDE, bands: int = BANDS, rows: int = ROWS) -> tuple[list[bytes], np.ndarray]:
-    """Sorted hashes of each text's distinct shingles, and for each text a row of band keys."""
+def fingerprint(texts: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """SimHash of each text, as unsigned 64-bit integers."""
+    each = [shingles(raw, width) for raw in texts]
+    return majority(np.array([h for own in each for h in own], np.uint64), np.array([len(x) for x in each], np.int64))
+
+
+def sketch(texts: list[bytes], width: int = WIDE, bands: int = BANDS, rows: int = ROWS) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Sorted hashes of each text's distinct shingles, for each text a row of band keys, and their SimHash."""
     each = [np.unique(np.array(shingles(raw, width), np.uint64)) for raw in texts]
     sizes = np.array([len(x) for x in each], np.int64)
     keys = np.zeros((len(texts), bands), np.uint64)
@@ -99,7 +105,7 @@ def sketch(texts: list[bytes], width: int = WIDE, bands: int = BANDS, rows: int
             for by in odd[band * rows : (band + 1) * rows]:
                 key = words.mix(key ^ np.minimum.reduceat(words.mix(hashed * by), first))
             keys[some, band] = key
-    return [x.tobytes() for x in each], keys
+    return [x.tobytes() for x in each], keys, majority(np.concatenate(each) if each else np.zeros(0, np.uint64), sizes)
 
 
 _LOWER = bytes(words.LOWER)
@@ -116,19 +122,20 @@ def with_fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerpr
 
 
 def with_sketches(docs: DataFrame, text: str, width: int, drop: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with the number of shingles (n), a hash of them all (fp) and the band keys (bands)."""
+    """``docs`` with the number of shingles (n), a hash of them all (fp), their SimHash (print) and the band keys (bands)."""
 
     def work(block: pa.RecordBatch) -> dict:
         column = block.column(text).cast(pa.large_binary())
-        own, keys = sketch([x or b"" for x in column.to_pylist()], width)
+        own, keys, prints = sketch([x or b"" for x in column.to_pylist()], width)
         places = np.arange(len(own) + 1) * keys.shape[1]
         return {
             "n": np.array([len(x) // 8 for x in own], np.int32),
             "fp": np.array([xxhash.xxh64_intdigest(x, SEED) for x in own], np.uint64).view(np.int64),
+            "print": prints.view(np.int64),
             "bands": lists(pa.array(keys.view(np.int64).ravel()), places),
         }
 
-    fields = [StructField("n", IntegerType()), StructField("fp", LongType()), StructField("bands", ArrayType(LongType()))]
+    fields = [StructField("n", IntegerType()), StructField("fp", LongType()), StructField("print", LongType()), StructField("bands", ArrayType(LongType()))]
     return map_blocks(docs, text, work, fields, drop)
 
 
@@ -259,49 +266,79 @@ def alike(pairs: DataFrame, sets: DataFrame, like: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def apart(rows: DataFrame, like: float, most: int) -> DataFrame:
-    """(u, v) of all rows (shard, fp, n, label) of one shard and of different labels, where the sizes allow ``like``."""
-    trees = dealt(rows.withColumnRenamed("n", "size"), most)
+def tree_links(found: pa.Table, like: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of texts of one tree whose similarity is ``like`` or more; only as many as unite different labels.
+
+    found: band (the same in all rows), fp, size, label, print, bands and own (sorted shingle hashes).
+    """
+    size, bands = found.column("size").to_numpy().astype(np.int64), np.stack([np.asarray(x) for x in found.column("bands").to_numpy()])
+    band = found.column("band")[0].as_py()
+    flat = np.frombuffer(b"".join(x.as_py() for x in found.column("own")), np.uint64)
+    first = np.cumsum(size) - size
+    known, flat = np.unique(flat, return_inverse=True)
+    mark = np.zeros(len(known), bool)
+    label = np.unique(found.column("label").to_numpy(), return_inverse=True)[1]
+    prints, at = np.unique(found.column("print").to_numpy().view(np.uint64), return_inverse=True)
+    rows_of = np.argsort(at, kind="stable")
+    held = np.bincount(at)
+    begin = np.cumsum(held) - held
+    tree = Forest(prints, np.zeros(len(prints), np.int64))
+    left, right = [], []
+    for q in range(len(prints)):
+        near = np.concatenate([[q], *(b for _, b in tree.search(np.array([q]), radius))])
+        others = np.concatenate([rows_of[begin[x] : begin[x] + held[x]] for x in near.tolist()])
+        for i in rows_of[begin[q] : begin[q] + held[q]].tolist():
+            j = others[(others > i) & (label[others] != label[i])]
+            j = j[np.minimum(size[j], size[i]) >= like * np.maximum(size[j], size[i]) - 1e-6]
+            if len(j):
+                j = j[(bands[j] == bands[i]).argmax(1) == band]  # a pair of several shards is decided in the first of them
+            if not len(j):
+                continue
+            mark[flat[first[i] : first[i] + size[i]]] = True
+            last = np.cumsum(size[j])
+            places = np.arange(last[-1]) - np.repeat(last - size[j] - first[j], size[j])
+            both = np.add.reduceat(mark[flat[places]], last - size[j], dtype=np.int64)
+            mark[flat[first[i] : first[i] + size[i]]] = False
+            j = j[both >= like * (size[i] + size[j] - both) - 1e-9]
+            if len(j):
+                united, one = np.unique(label[j], return_index=True)
+                left += [i] * len(one)
+                right += j[one].tolist()
+                label[np.isin(label, united)] = label[i]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def apart(rows: DataFrame, sets: DataFrame, like: float, most: int) -> DataFrame:
+    """(u, v): similar texts (fp) of one shard and of different labels, as many as unite them.
+
+    rows: shard, band, fp, n, label, print, bands; sets: fp, own.
+    """
+    trees = table(dealt(rows.withColumnRenamed("n", "size"), most), "long-trees")
+    size = trees.agg(F.sum("size")).first()[0] or 0
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(size * 8 / TREE_BYTES))
 
     def run(batches):
-        own = [b for b in batches if b.num_rows]
-        if not own:
-            return
-        found = pa.Table.from_batches(own)
-        tree, fp, n, label = (found.column(c).to_numpy() for c in ("tree", "fp", "size", "label"))
-        order = np.lexsort((n, tree))
-        tree, fp, n, label = tree[order], fp[order], n[order], label[order]
-        edges = np.r_[np.flatnonzero(np.r_[True, tree[1:] != tree[:-1]]), len(tree)]
-        u, v, size = [], [], 0
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            ends = a + np.searchsorted(n[a:b], n[a:b] / like + 1e-6, "right")  # by size, so the others follow
-            for i in range(a, b - 1):
-                other = fp[i + 1 : ends[i - a]][label[i + 1 : ends[i - a]] != label[i]]
-                if len(other):
-                    u.append(np.minimum(other, fp[i]))
-                    v.append(np.maximum(other, fp[i]))
-                    size += len(other)
-                if size > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-                    u, v, size = [], [], 0
-        if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return trees.repartition(tasks, "tree").mapInArrow(run, "u bigint, v bigint").where("u <> v").distinct()
+        for found in whole_groups(batches, "tree"):
+            i, j = tree_links(found, like, WIDE_RADIUS)
+            fp = found.column("fp").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["u", "v"])
+
+    whole = trees.join(sets, "fp").repartition(tasks, "tree").sortWithinPartitions("tree", "fp")
+    return whole.mapInArrow(run, "u bigint, v bigint")
 
 
 def similar_links(prints: DataFrame, texts: DataFrame, width: int = WIDE, like: float = LIKE, most: int | None = None) -> DataFrame:
-    """(u, v) edges that connect all sets (fp, n, bands, t; distinct) that are similar to ``like`` or more.
+    """(u, v) edges that connect all sets (fp, n, print, bands, t; distinct) that are similar to ``like`` or more.
 
     texts: (t, text), from which the shingles of candidates are taken again, so that only those are kept and moved.
     """
-    each = prints.where("n > 0").select("fp", "n", F.explode("bands").alias("shard"))
+    each = prints.where("n > 0").select("fp", "n", "print", F.posexplode("bands").alias("band", "shard"))
     by = F.xxhash64("shard", "fp")
-    first = each.groupBy("shard").agg(F.min_by(F.struct("fp", "n"), by).alias("first"), F.count("*").alias("c")).where("c > 1")
-    rows = table(each.join(first, "shard").select("shard", "fp", "n", "first", "c"), "sharing")
+    first = each.groupBy("shard").agg(F.min_by(F.struct("fp", "n", "print"), by).alias("first"), F.count("*").alias("c")).where("c > 1")
+    rows = table(each.join(first, "shard").select("shard", "band", "fp", "n", "print", "first", "c"), "sharing")
     fits = F.least("n", "first.n") >= like * F.greatest("n", "first.n") - 1e-6
-    stars = rows.where((F.col("fp") != F.col("first.fp")) & fits).select(F.least("fp", "first.fp").alias("u"), F.greatest("fp", "first.fp").alias("v"))
+    close = F.bit_count(F.col("print").bitwiseXOR(F.col("first.print"))) <= WIDE_RADIUS
+    stars = rows.where((F.col("fp") != F.col("first.fp")) & fits & close).select(F.least("fp", "first.fp").alias("u"), F.greatest("fp", "first.fp").alias("v"))
     met = table(stars.distinct(), "met")
     named_once = met.select(F.explode(F.array("u", "v")).alias("fp")).union(rows.where("c > 2").select("fp")).distinct()
     some = prints.select("fp", "t").join(named_once, "fp", "left_semi")
@@ -309,11 +346,12 @@ def similar_links(prints: DataFrame, texts: DataFrame, width: int = WIDE, like:
     some = table(with_sets(bodies, "text", width).select("fp", "own"), "sets")
     near = table(alike(met, some, like), "near")
     labels = graph.components(near).withColumnRenamed("node", "fp")
-    rows = rows.where("c > 2").join(labels, "fp", "left").select("shard", "fp", "n", F.coalesce("label", "fp").alias("label"))
-    rows = table(rows, "labelled")
-    mixed = rows.groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shard")
-    left = table(apart(rows.join(mixed, "shard", "left_semi"), like, most or MOST_LONG).join(met, ["u", "v"], "left_anti"), "apart")
-    return near.union(alike(left, some, like))
+    rows2 = table(rows.where("c > 2").join(labels, "fp", "left").select("shard", "band", "fp", "n", "print", F.coalesce("label", "fp").alias("label")), "labelled")
+    mixed = rows2.groupBy("shard").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shard")
+    left = rows2.join(mixed, "shard", "left_semi").join(prints.select("fp", "bands"), "fp")
+    more = table(apart(left, some, like, most or MOST_LONG), "apart")
+    spent(rows, met, some, rows2)
+    return near.union(more)
 
 
 def named(prints: DataFrame, edges: DataFrame) -> DataFrame:
@@ -347,7 +385,7 @@ def dedup_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     body = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     some = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), body.alias("t"))
     each = table(with_sketches(some, "text", width, ("text",)), "sketches")
-    prints = table(each.groupBy("fp").agg(F.min("id").alias("least"), F.min("t").alias("t"), *[F.first(c).alias(c) for c in ("n", "bands")]), "distinct-sets")
+    prints = table(each.groupBy("fp").agg(F.min("id").alias("least"), F.min("t").alias("t"), *[F.first(c).alias(c) for c in ("n", "print", "bands")]), "distinct-sets")
     found = each.select("id", "t", "fp").join(named(prints, table(similar_links(prints, some.select("t", "text"), width, like), "similar")), "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
     # several texts may have the group's id, and a row may be there twice
     rows = found.groupBy("component_id", "t").agg(F.count("*").alias("_n"))

@@ -299,6 +299,28 @@ def test_simhash(docs, rows, empty, most, monkeypatch):
         assert simhash.digest(empty).count() == 0
 
 
+def test_loose_group_is_united_exactly(spark, monkeypatch):
+    """Near copies at all similarities from 0.5 to 1: components as by comparing all pairs, in one tree and in parts."""
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    table = []
+    for k in range(90):
+        own = list(base)
+        for at in rng.choice(120, int(rng.integers(1, 12)), replace=False):
+            own[at] = f"v{rng.integers(0, 400)}"
+        table.append((k, " ".join(own)))
+    at = list(range(90))
+    for i in range(90):
+        for j in range(i):
+            if similarity(table[i][1], table[j][1]) >= simhash.LIKE:
+                at = [min(at[i], at[j]) if x in (at[i], at[j]) else x for x in at]
+    assert 10 < len(set(at)) < 80
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    for most in (1024, 16):
+        monkeypatch.setattr(simhash, "MOST_LONG", most)
+        assert {r.doc_id for r in simhash.dedup_similar(docs).collect()} == set(at)
+
+
 @cache
 def five_words(text):
     w = low(text).split()
@@ -322,9 +344,9 @@ def test_similar(spark, docs, rows, empty, most, monkeypatch):
     for k, text in texts.items():
         others = {j: similarity(text, t) for j, t in texts.items() if j != k}
         if k in ids:
-            assert all(s < 0.9 for j, s in others.items() if j in ids)
+            assert all(s < simhash.LIKE for j, s in others.items() if j in ids)
         else:
-            assert max(others.values()) > 0.6
+            assert max(others.values()) >= simhash.LIKE
     assert simhash.dedup_similar(empty).count() == 0
 
 

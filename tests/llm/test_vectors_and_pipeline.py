@@ -71,7 +71,7 @@ def test_pipeline_stages(spark, tmp_path):
             was, now = ({r.doc_id: r.text or "" for r in x.collect()} for x in (before, after))
             assert len(now) == after.count() < len(was)
             for k, text in was.items():
-                near = [j for j, t in was.items() if j != k and similarity(text, t) > (0.9 if k in now else 0.6)]
+                near = [j for j, t in was.items() if j != k and similarity(text, t) >= simhash.LIKE]
                 assert not set(near) & set(now) if k in now else near
         elif name == "decontaminate":
             assert after.count() == before.count()
