@@ -1,12 +1,16 @@
 """Embedding near-duplicates by a forest of random-projection trees.
 
-Equal vectors are merged first. Each tree splits at the median of a random
-projection; vectors near the median go to both sides (spill). The upper levels,
-at most TOP_LEVELS of them, are fitted on a bounded sample (``sample`` vectors,
-taken in the order of a hash of their ids) and deal all vectors to groups; the
+Equal vectors are merged first, by hashes of 128 bits. Each tree splits at the
+median of a random projection; vectors near the median go to both sides (spill).
+The upper levels, as many as the number of vectors asks for, are fitted on a bounded
+sample (``sample`` vectors, taken in the order of a hash of their ids): a node takes
+its median from its own sampled vectors while these are ENOUGH, and below that from
+those of its nearest ancestor that has as many. They deal all vectors to groups; the
 lower levels split each group at its own medians until leaves are small. A node
-whose vectors all point nearly the same way is a leaf at any size, since further
-splits would only tear near copies apart; leaves are compared in tiles. Found
+whose vectors all point nearly the same way is a leaf, since further splits would
+only tear near copies apart; leaves are compared in tiles. A group of more than BIG
+vectors (such a direction that very many share) is dealt in pairs of parts and
+compared whole, so no task holds an unbounded group. Found
 pairs are verified by cosine in double precision; each group gives only a
 spanning forest of its links, and these are joined to components. Inside each
 component the links of every vector are then counted exactly, so no list of
@@ -34,7 +38,9 @@ THRESHOLD = 0.95
 TREES = 8
 LEAF = 256
 GROUP = 4096  # vectors that a group of the upper levels should have
-TOP_LEVELS = 12
+TOP_LEVELS = 30
+ENOUGH = 32  # sampled vectors of a node that has a median of its own
+BIG = 4 * GROUP  # vectors of a group compared in one task
 SPILL = 0.04  # share of a node, on either side of its median, that goes to both sides
 SAMPLE = 20_000
 TILE = 512
@@ -58,36 +64,44 @@ def narrow(x: np.ndarray) -> bool:
 
 
 class Top:
-    """The upper levels of all trees: a direction for each tree and level, bounds for each node."""
+    """The upper levels of all trees: a direction for each tree and level, bounds for each level and cell.
+
+    A node's cell is the node itself in the first ``fitted`` levels, below them its ancestor there.
+    """
 
     def __init__(self, x: np.ndarray, dim: int, levels: int, trees: int = TREES, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.levels, self.trees = levels, trees
+        self.fitted = min(levels, max(0, int(np.log2(max(1, len(x)) / ENOUGH))))
         self.directions = rng.normal(size=(trees, levels, dim))
-        self.low = np.full((trees, 1 << levels), -np.inf)  # by node of a heap; right gets what is above low
-        self.high = np.full((trees, 1 << levels), -np.inf)  # left gets what is at most high
+        self.low = np.zeros((trees, levels, 1 << self.fitted))  # right gets what is above low
+        self.high = np.zeros((trees, levels, 1 << self.fitted))  # left gets what is at most high
         for t in range(trees):
-            nodes = {1: np.arange(len(x))}
+            cell = np.zeros(len(x), np.int64)
             for level in range(levels):
                 p = x @ self.directions[t, level]
-                for node in range(1 << level, 2 << level):
-                    own = nodes.pop(node, np.zeros(0, np.int64))
-                    if len(own) < 4:
-                        continue  # bounds of -inf send everything right
-                    self.low[t, node], self.high[t, node] = np.quantile(p[own], [0.5 - SPILL, 0.5 + SPILL])
-                    nodes[2 * node], nodes[2 * node + 1] = own[p[own] <= self.high[t, node]], own[p[own] > self.low[t, node]]
+                order = np.argsort(cell, kind="stable")
+                edges = np.searchsorted(cell[order], np.arange((1 << min(level, self.fitted)) + 1))
+                middle = np.zeros(len(edges) - 1)
+                for c in range(len(middle)):
+                    own = p[order[edges[c] : edges[c + 1]]]
+                    own = own if len(own) > 1 else p
+                    self.low[t, level, c], middle[c], self.high[t, level, c] = np.quantile(own, [0.5 - SPILL, 0.5, 0.5 + SPILL])
+                if level < self.fitted:
+                    cell = cell * 2 + (p > middle[cell])
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and the groups that they go to, over all trees."""
         rows, groups = [], []
         for t in range(self.trees):
-            row, node = np.arange(len(x)), np.ones(len(x), np.int64)
+            row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
             for level in range(self.levels):
                 p = (x @ self.directions[t, level])[row]
-                left, right = p <= self.high[t, node], p > self.low[t, node]
+                cell = node >> max(0, level - self.fitted)
+                left, right = p <= self.high[t, level, cell], p > self.low[t, level, cell]
                 row, node = np.r_[row[left], row[right]], np.r_[2 * node[left], 2 * node[right] + 1]
             rows.append(row)
-            groups.append((np.int64(t) << (TOP_LEVELS + 2)) + node)
+            groups.append((np.int64(t) << TOP_LEVELS + 2) + node)
         return np.concatenate(rows), np.concatenate(groups)
 
 
@@ -123,6 +137,13 @@ def valid(id_col: str, vector: str):
     return F.coalesce(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite & F.exists(v, lambda c: c != 0), F.lit(False))
 
 
+def in_parts(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, id, columns, parts, own, p, q): rows (parts: how many its key has) for each pair of parts p <= q that theirs, own, is in."""
+    own = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("p"), F.greatest(i, F.col("own")).alias("q")))
+    return own.select(key, "id", *columns, "parts", "own", F.explode(pairs).alias("x")).select(key, "id", *columns, "parts", "own", "x.p", "x.q")
+
+
 def near(distinct: DataFrame, threshold: float, sample: int, trees: int) -> DataFrame:
     """(u, v): edges that connect linked distinct vectors (id, v, dim), a spanning forest of each group's links."""
     out = None
@@ -144,14 +165,17 @@ def near(distinct: DataFrame, threshold: float, sample: int, trees: int) -> Data
             rows = rows.sort_by("id")  # one order, so that a repeated task splits alike
             x, ids = unit(rows.column("v")), rows.column("id").to_numpy()
             label = np.arange(len(x))
-            for own in leaves(x, np.random.default_rng(int(rows.column("g")[0].as_py()))):
+            whole = [np.arange(len(x))] if rows.column("parts")[0].as_py() > 1 else None
+            for own in whole or leaves(x, np.random.default_rng(int(rows.column("g")[0].as_py()))):
                 for i, j in close(x[own], threshold):
                     label = graph.hook(label, own[i], own[j])
             linked = np.flatnonzero(label != np.arange(len(x)))
             return pa.table({"u": ids[linked], "v": ids[label[linked]]})
 
         dealt = own.select("id", "v").mapInArrow(deal, f"g bigint, id bigint, v {kind}")
-        found = dealt.groupBy("g").applyInArrow(compare, "u bigint, v bigint")
+        big = table(dealt.groupBy("g").count().where(F.col("count") > BIG), "big-groups")
+        sized = dealt.join(big, "g", "left").withColumn("parts", F.coalesce(F.ceil(F.col("count") / (BIG / 2)), F.lit(1)).cast("int"))
+        found = in_parts(sized, "g", "v").groupBy("g", "p", "q").applyInArrow(compare, "u bigint, v bigint")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return distinct.sparkSession.createDataFrame([], "u bigint, v bigint")
@@ -165,11 +189,7 @@ def partners(members: DataFrame, threshold: float) -> DataFrame:
     by itself; nothing but a count for each vector and pair of parts goes on.
     """
     sizes = table(members.groupBy("label").agg(F.count("*").alias("size")), "component-sizes")
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, F.col("own")).alias("p"), F.greatest(i, F.col("own")).alias("q")))
-    dealt = members.join(sizes, "label").withColumn("parts", parts).withColumn("own", own)
-    dealt = dealt.select("label", "id", "n", "v", "own", F.explode(pairs).alias("x")).select("label", "x.p", "x.q", "id", "n", "v", "own")
+    dealt = in_parts(members.join(sizes, "label").withColumn("parts", F.ceil(F.col("size") / PART).cast("int")), "label", "n", "v").drop("parts")
     conf = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -202,7 +222,7 @@ def partners(members: DataFrame, threshold: float) -> DataFrame:
 def classes(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, sample: int = SAMPLE, trees: int = TREES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row."""
     v = F.col(vector)
-    keys = [F.xxhash64(v).alias("h1"), F.xxhash64(v, F.lit(1)).alias("h2")]
+    keys = [F.xxhash64(v).alias("h1"), F.xxhash64(F.lit(1), v).alias("h2")]
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("v"), valid(vec_id, vector).alias("ok"), *keys)
     distinct = rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
     distinct = table(distinct.withColumn("dim", F.size("v")), "distinct-vectors")
