@@ -8,15 +8,18 @@ which the node is widest, until the leaves reach the target bytes (a shard's
 share of the total).
 
 A dimension's value and a hash of the group make one ordered 62-bit key; the
-median is found by counting bytes in ``FAN`` ranges of the key and descending
-into the range that holds it, three times. A count has a row for each node and
-range, however large the table is, and no ids or groups reach the driver.
+median is found by counting bytes in 2**FAN_BITS ranges of the key and descending
+into the range that holds it until that has one group, LEVELS times at most. A count
+has a row for each node and range, however large the table is; the driver gets one
+row for each node, and no ids or groups.
 
 Law ``bytes``: sizes of the shards are near equal.
 
 Defined results: a null text has no bytes (size 1, checksum 0) and an empty one
 likewise; both form one group. A null id is dealt like any other value. Repeated
-rows are rows of their own. An empty table gives an empty result.
+rows are rows of their own. Ids are numbers, or texts of numbers. An empty table
+gives an empty result; other columns are not carried. Slots follow ids within hash
+ranges of the written rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.store import table
+from tessera.store import spent, table
 
 SHARDS = 8
 SPLIT_SHARE = 1 / 32
@@ -91,24 +94,27 @@ def split(groups: DataFrame) -> DataFrame:
     fixed = F.least(F.floor(value * (1 << VALUE_BITS)), F.lit((1 << VALUE_BITS) - 1)).cast("long")
     keyed = groups.join(F.broadcast(axis), "node").withColumn("key", F.shiftleft(fixed, KEY_BITS - VALUE_BITS) + F.col("tie"))
     # nodes number at most the shards, so what is broadcast below has a row for each shard
-    found = keyed.groupBy("node").agg(F.sum("weight").alias("all")).select("node", F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("before"), "all")
+    found = keyed.groupBy("node").agg(F.sum("weight").alias("all")).select("node", F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("before"), "all", F.lit(0).cast("long").alias("upto"))
     for step in range(LEVELS):
         bits = KEY_BITS - FAN_BITS * (step + 1)
-        inside = keyed.join(F.broadcast(found), "node").where(F.shiftright("key", bits + FAN_BITS) == F.shiftright("from", bits + FAN_BITS)).drop("upto")
-        counts = inside.groupBy("node", "from", "before", "all", F.shiftright("key", bits).alias("range")).agg(F.sum("weight").alias("w"))
-        upto = Window.partitionBy("node").orderBy("range")
-        run = counts.withColumn("upto", F.col("before") + F.sum("w").over(upto))
+        inside = keyed.join(F.broadcast(found.drop("upto")), "node").where(F.shiftright("key", bits + FAN_BITS) == F.shiftright("from", bits + FAN_BITS))
+        counts = inside.groupBy("node", "before", "all", F.shiftright("key", bits).alias("range")).agg(F.sum("weight").alias("w"), F.count("*").alias("k"))
+        run = counts.withColumn("upto", F.col("before") + F.sum("w").over(Window.partitionBy("node").orderBy("range")))
         found = (
             run.where(F.col("upto") * 2 >= F.col("all"))
             .groupBy("node", "all")
-            .agg(F.min_by(F.struct("range", (F.col("upto") - F.col("w")).alias("b"), "upto"), "range").alias("x"))
-            .select("node", F.shiftleft(F.col("x.range"), bits).alias("from"), F.col("x.b").alias("before"), "all", F.col("x.upto").alias("upto"))
+            .agg(F.min_by(F.struct("range", (F.col("upto") - F.col("w")).alias("b"), "upto", "k"), "range").alias("x"))
+            .select("node", F.shiftleft(F.col("x.range"), bits).alias("from"), F.shiftleft(F.col("x.range") + 1, bits).alias("to"), F.col("x.b").alias("before"), "all", F.col("x.upto").alias("upto"), F.col("x.k").alias("k"))
         )
-        found = found.sparkSession.createDataFrame(found.collect(), found.schema)
+        nodes = found.collect()
+        found = found.sparkSession.createDataFrame(nodes, found.schema)
+        if all(r["k"] == 1 for r in nodes):
+            break
+        found = found.drop("to", "k") if step + 1 < LEVELS else found
     # the group at the median goes to the side that it leaves nearer to half
     left = (F.col("before") > 0) & (F.col("upto") * 2 - F.col("all") > F.col("all") - F.col("before") * 2)
-    right = F.when(left, F.col("key") >= F.col("from")).otherwise(F.col("key") > F.col("from"))
-    return keyed.join(F.broadcast(found), "node").withColumn("node", F.col("node") * 2 + right.cast("int")).drop("axis", "key", "from", "before", "all", "upto")
+    right = F.when(left, F.col("key") >= F.col("from")).otherwise(F.col("key") >= F.col("to"))
+    return keyed.join(F.broadcast(found), "node").withColumn("node", F.col("node") * 2 + right.cast("int")).drop("axis", "key", "from", "to", "before", "all", "upto", "k")
 
 
 def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -121,21 +127,27 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
     grouped = dealt.groupBy("g", "piece").agg(
         F.sum("size").alias("weight"), F.max("size").alias("size"), F.min("source").alias("source"), F.min("lang").alias("lang"), F.min(F.col("doc_id").cast("double")).alias("at")
     )
-    groups = table(metadata(grouped), "groups").withColumn("node", F.lit(0))
+    groups = table(metadata(grouped).withColumn("node", F.lit(0)), "groups")
     for level in range(depth):
-        groups = table(split(groups), f"level{level}")
+        before, groups = groups, table(split(groups), f"level{level}")
+        spent(before)
     placed = dealt.join(groups.select("g", "piece", F.col("node").alias("shard")), ["g", "piece"])
-    return slots(table(placed.select("doc_id", "size", "text_crc32", "shard"), "placed"))
+    placed = table(placed.select("doc_id", "size", "text_crc32", "shard", F.monotonically_increasing_id().alias("_u")), "placed")
+    spent(rows, groups)
+    return slots(placed)
 
 
 def slots(placed: DataFrame) -> DataFrame:
-    """``placed`` with a gapless slot in each shard: places of hash ranges, then places inside them."""
+    """``placed`` with a gapless slot in each shard: places of hash ranges, then places inside them.
+
+    Ranges are of a number (_u) that each written row has for itself, so repeated rows do not crowd one of them.
+    """
     n = max(64, math.ceil(placed.count() / SLOT_ROWS))
-    ranged = placed.withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    ranged = placed.withColumn("_b", F.pmod(F.xxhash64("_u"), F.lit(n)).cast("int"))
     counts = ranged.groupBy("shard", "_b").count()
     before = counts.select("shard", "_b", (F.sum("count").over(Window.partitionBy("shard").orderBy("_b")) - F.col("count")).alias("_from"))
-    inside = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("doc_id", "text_crc32")) - 1
-    return ranged.withColumn("_i", inside).join(F.broadcast(before), ["shard", "_b"]).select(
+    inside = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("doc_id", "text_crc32", "_u")) - 1
+    return ranged.withColumn("_i", inside).join(before, ["shard", "_b"]).select(
         "doc_id", "size", "text_crc32", "shard", (F.col("_from") + F.col("_i")).cast("long").alias("slot")
     )
 
