@@ -15,9 +15,10 @@ buckets (a length with many rows has many) give where a bucket starts, and a
 row number its place inside, so a length that a third of all rows share is no
 single task.
 
-Ids are those of the given tokenizers file without special tokens, then id 1;
-they are encoded by tiktoken from the same vocabulary, and by tokenizers itself
-for texts that hold a special token's string.
+Ids are those of the given tokenizers file without special tokens, then id 1. A
+file of plain byte-level BPE (no normalizer, the usual pattern, merges in the order
+of their ids) is encoded by tiktoken from the same vocabulary, and by tokenizers
+itself for texts that hold a special token's string; any other file by tokenizers.
 
 Defined results: a null or empty text is the single closing id; repeated rows
 are packed each; a null id is carried; an empty table gives an empty result;
@@ -38,7 +39,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from tessera.llm import words
 from tessera.llm.blocks import small_batches
-from tessera.store import table
+from tessera.store import spent, table
 
 WINDOW = 2048
 END_ID = 1
@@ -52,6 +53,19 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def plain_byte_bpe(model: dict) -> bool:
+    """Whether a tokenizers file does no more than byte-level BPE with the usual pattern."""
+    pre, bpe = model.get("pre_tokenizer") or {}, model["model"]
+    if model.get("normalizer") or model.get("truncation") or model.get("post_processor") or bpe.get("type") != "BPE":
+        return False
+    if pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return False
+    if any(bpe.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    order = [bpe["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in bpe["merges"]]
+    return all(a < b for a, b in zip(order, order[1:])) and order[:1] != [-1]
+
+
 @cache
 def encoder(path: str):
     """A function from text to its ids under the tokenizers file at ``path``, which each machine has."""
@@ -62,6 +76,8 @@ def encoder(path: str):
     own = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
+    if not plain_byte_bpe(model):
+        return lambda text: own.encode(text, add_special_tokens=False).ids
     # byte-level files write printable bytes as themselves and the others as U+0100 onwards
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     letters = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -220,24 +236,28 @@ class Plan:
 
 
 def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
-    """``pieces`` with their rank, from 0, within their length."""
+    """``pieces`` with their rank, from 0, within their length.
+
+    Buckets are of a number that each written row has for itself, so repeated rows do not crowd one of them; what
+    is ordered in one task are the counts of a length's buckets, a row for BUCKET_ROWS or more pieces.
+    """
     spark = pieces.sparkSession
     many = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in histogram.items()], "length bigint, buckets bigint")
-    dealt = pieces.join(F.broadcast(many), "length").withColumn("b", F.pmod(F.xxhash64("doc_id", "t", "start"), "buckets"))
+    dealt = pieces.join(F.broadcast(many), "length").withColumn("b", F.pmod(F.xxhash64("_u"), "buckets"))
     counts = dealt.groupBy("length", "b").count()
     before = counts.select("length", "b", (F.sum("count").over(Window.partitionBy("length").orderBy("b")) - F.col("count")).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("length", "b").orderBy("doc_id", "start", "t")) - 1
-    return dealt.withColumn("nth", nth).join(table(before, "bucket-starts"), ["length", "b"]).withColumn("rank", F.col("base") + F.col("nth")).drop("b", "buckets", "base", "nth")
+    nth = F.row_number().over(Window.partitionBy("length", "b").orderBy("doc_id", "start", "t", "_u")) - 1
+    return dealt.withColumn("nth", nth).join(table(before, "bucket-starts"), ["length", "b"]).withColumn("rank", F.col("base") + F.col("nth")).drop("b", "buckets", "base", "nth", "_u")
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, window: int = WINDOW) -> DataFrame:
     """Pieces and their places: doc_id, t, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    pieces = table(tokens(docs, doc_id, text, tokenizer, window=window), "pieces")
+    pieces = table(tokens(docs, doc_id, text, tokenizer, window=window).withColumn("_u", F.monotonically_increasing_id()), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most window rows
     if not histogram:
-        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return pieces.drop("_u").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     shared = docs.sparkSession.sparkContext.broadcast(Plan(histogram, window))
-    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    schema = StructType([*pieces.drop("_u").schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def run(batches):
         for b in batches:
@@ -255,6 +275,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
             yield pa.RecordBatch.from_arrays([pa.array(columns[n]) if n in columns else b.column(n).take(at) for n in schema.names], names=schema.names)
 
     placed = table(ranked(pieces, histogram).mapInArrow(run, schema), "placed")
+    spent(pieces)
     cut = placed.where(F.col("ids_crc32").isNull())
     n = cut.count()
     if not n:
