@@ -41,7 +41,7 @@ WIDTH = 10
 PART_BYTES = 4 << 20
 SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
 FIELDS = [StructField("n_words", LongType()), StructField("spans", SPANS), StructField("hit_lengths", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))]
-RUNS, ITEMS = "_hit_runs", "_hit_items"  # what a row carries from part to part
+RUNS, ITEMS = "__tessera_hit_runs", "__tessera_hit_items"  # what a row carries from part to part
 CARRIED = [StructField(RUNS, SPANS), StructField(ITEMS, ArrayType(StringType()))]
 
 

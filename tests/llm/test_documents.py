@@ -1,7 +1,9 @@
 """Operators on documents against plain versions, on whole texts and awkward rows."""
 
 import hashlib
+import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
@@ -438,6 +440,20 @@ def test_packed_sequences_hold_the_ids(docs, rows):
     assert total == Counter(i for r in rows if r.doc_id is not None and r.doc_id < 30 for i in [*encode(r.text or ""), 1])
 
 
+def test_other_tokenizer_files_are_followed(tmp_path):
+    """A normalizer or another pre-tokenizer in the file counts."""
+    import json
+
+    with open(pack.default_tokenizer(), encoding="utf-8") as f:
+        model = json.load(f)
+    assert pack.plain_byte_bpe(model)
+    model["normalizer"] = {"type": "Lowercase"}
+    path = str(tmp_path / "lower.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(model, f)
+    assert pack.encoder(path)("Some TEXT") == pack.encoder(pack.default_tokenizer())("some text")
+
+
 def test_plan_fills_windows():
     plan = pack.Plan({2048: 3, 2000: 2, 48: 5, 1000: 4, 24: 4, 700: 1})
     assert plan.stream_from + plan.whole >= 3
@@ -460,6 +476,70 @@ def test_shards(spark, docs, rows, empty):
     assert shard.digest(empty).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs, ints and texts."""
+    h = 42
+    for v, form in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if form == "s" else struct.pack(form, v), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_tree(rows, depth=3):
+    """Leaves of the k-d tree by sorting: {(group, piece): shard}."""
+    top, unit = 1 << shard.VALUE_BITS, lambda x: spark_hash((x or "", "s")) % (1 << shard.VALUE_BITS) / (1 << shard.VALUE_BITS)
+    size = lambda r: len((r.text or "").encode()) + 1
+    most = max(1.0, sum(map(size, rows)) / 8 * shard.SPLIT_SHARE)
+    texts = defaultdict(list)
+    for r in rows:
+        texts[spark_hash((r.text or "", "s"))].append(r)
+    groups = defaultdict(list)
+    for g, own in texts.items():
+        weight = sum(map(size, own))
+        for r in own:
+            groups[g, spark_hash((r.doc_id, "<q")) % math.ceil(weight / most) if weight > most else 0].append(r)
+    least = lambda own, f: min((getattr(r, f) for r in own if getattr(r, f) is not None), default=None)
+    at = {k: least(own, "doc_id") for k, own in groups.items()}
+    known = [x for x in at.values() if x is not None]
+    scale, lo, span = math.log(max(map(size, rows)) + 2) / math.log(2), min(known), max(known) - min(known) + 1.0
+    facts = {}
+    for k, own in groups.items():
+        tie = (spark_hash((k[0], "<q"), (k[1], "<i")) % (1 << 64)) >> (64 - (shard.KEY_BITS - shard.VALUE_BITS))
+        length = math.log(max(map(size, own)) + 1) / math.log(2) / scale
+        facts[k] = (sum(map(size, own)), [length, unit(least(own, "source")), unit(least(own, "lang")), 0.0 if at[k] is None else (at[k] - lo) / span], tie)
+    nodes = [list(groups)]
+    for _ in range(depth):
+        halves = []
+        for node in nodes:
+            total = sum(facts[k][0] for k in node)
+            if not node:
+                halves += [[], []]
+                continue
+            spread = [sum(facts[k][0] * facts[k][1][d] ** 2 for k in node) / total - (sum(facts[k][0] * facts[k][1][d] for k in node) / total) ** 2 for d in range(4)]
+            axis = max(range(4), key=lambda d: (spread[d], -d))
+            order = sorted(node, key=lambda k: (min(int(facts[k][1][axis] * top), top - 1), facts[k][2]))
+            before = 0
+            for n, k in enumerate(order):
+                upto = before + facts[k][0]
+                if upto * 2 >= total:
+                    break
+                before = upto
+            n += not (before > 0 and upto * 2 - total > total - before * 2)
+            halves += [order[:n], order[n:]]
+        nodes = halves
+    return {k: i for i, node in enumerate(nodes) for k in node}, texts, most, size
+
+
+def test_shards_against_a_plain_tree(docs, rows):
+    leaf, texts, most, size = plain_tree(rows)
+    want = Counter()
+    for r in rows:
+        g = spark_hash((r.text or "", "s"))
+        weight = sum(map(size, texts[g]))
+        want[r.doc_id, leaf[g, spark_hash((r.doc_id, "<q")) % math.ceil(weight / most) if weight > most else 0]] += 1
+    assert Counter((r.doc_id, r.shard) for r in shard.digest(docs).collect()) == want
+
+
 def test_shards_are_near_equal_with_a_hot_group(spark):
     rows = [(i, ("copied text " * 20) if i % 3 == 0 else f"text {i} " * (i % 40 + 1), "en", f"s{i % 2}") for i in range(6000)]
     got = shard.digest(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).groupBy("shard").sum("size").collect()
