@@ -7,6 +7,7 @@ pipeline and prints the ranked companies.
 from __future__ import annotations
 
 import argparse
+import sys
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from tessera.plans.thesis import parse
 from tessera.schemas import COMPANY, SOURCES
 from tessera.session import session
 from tessera.sources import mentions
+from tessera.store import children, clear
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:
@@ -35,15 +37,13 @@ def arguments(argv: list[str]) -> argparse.Namespace:
 
 
 def main(argv: list[str] | None = None) -> None:
-    import sys
-
     args = arguments(sys.argv[1:] if argv is None else argv)
     spark = session()
     now = F.current_timestamp()
     every = {
-        "github": lambda since: mentions.read_repos(spark, f"{args.landing}/repos", now, limit=args.limit),
-        "hackernews": lambda since: mentions.read_posts(spark, f"{args.landing}/posts", now, limit=args.limit),
-        "rss": lambda since: mentions.feed_items(mentions.read_feed(spark, f"{args.landing}/feeds"), now, F.lit(since).cast("timestamp") if since else None).limit(args.limit),
+        "github": lambda since: mentions.read_repos(spark, f"{args.landing}/repos", now, since, args.limit, searched=False),
+        "hackernews": lambda since: mentions.read_posts(spark, f"{args.landing}/posts", now, int(since) if since else None, args.limit),
+        "rss": lambda since: mentions.read_feeds(spark, children(spark, f"{args.landing}/feeds"), now, since, args.limit, lambda feed, error: print(f"feed {feed}: {error}", file=sys.stderr)),
     }
     thesis = parse(Path(args.thesis).read_text(encoding="utf-8"))
     result = pipeline.run(spark, args.root, thesis, {s: every[s] for s in args.source}, now)
@@ -53,6 +53,7 @@ def main(argv: list[str] | None = None) -> None:
         print(f"{row.line}\n   {row.rationale}")
     if result.failed:
         print(f"failed sources: {', '.join(result.failed)}")
+    clear(spark)
 
 
 if __name__ == "__main__":

@@ -45,8 +45,25 @@ def winkler(a: str, b: str) -> float:
 
 @F.pandas_udf(DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Arrow batches; Spark has no such function of its own."""
-    return pd.Series([None if x is None or y is None else winkler(x, y) for x, y in zip(a, b)], dtype="float64")
+    """Arrow batches; Spark has no such function of its own. Equal pairs of a batch are computed once."""
+    known: dict[tuple[str, str], float] = {}
+    out = []
+    for pair in zip(a, b):
+        if pair[0] is None or pair[1] is None:
+            out.append(None)
+            continue
+        if pair not in known:
+            known[pair] = winkler(*pair)
+        out.append(known[pair])
+    return pd.Series(out, dtype="float64")
+
+
+def winkler_at_most(a: Column, b: Column) -> Column:
+    """A bound that :func:`jaro_winkler` never exceeds, by lengths and common first letters, in the JVM."""
+    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    base = F.when(long == 0, 1.0).otherwise((short / F.greatest(long, F.lit(1)) + 2) / 3)
+    same = sum((F.when(F.substring(a, 1, i) == F.substring(b, 1, i), 1).otherwise(0) for i in range(1, PREFIX + 1)), F.lit(0))
+    return base + same * SCALE * (1 - base)
 
 
 def cosine(a: Column, b: Column) -> Column:

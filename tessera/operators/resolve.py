@@ -3,8 +3,11 @@
 Batch resolution is the design for scale: keys are exploded and equi-joined,
 pairs are scored in one projection, pairs above the merge floor become edges of
 connected components. All items that share a key are compared, as the semantics
-ask; ``most`` is an option for tables with very common keys that leaves keys of
-more items out of the pairing (equal names and domains still meet).
+ask. A key of many items is dealt into parts, and each pair of parts is joined by
+itself, so no task holds a whole common key; a pair is listed only under the first
+of the keys that it shares, so no list of repeated pairs has to be made distinct.
+``most`` is an option for tables with very common keys that leaves keys of more items
+out of the pairing (equal names and domains still meet).
 """
 
 from __future__ import annotations
@@ -13,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.similarity import cosine, jaro_winkler, unit_interval
+from tessera.functions.similarity import cosine, jaro_winkler, unit_interval, winkler_at_most
 from tessera.operators import graph
+from tessera.store import table
 
 # Fixed values of the pair score.
 WEIGHTS = {"domain": 0.5, "name": 0.25, "embedding": 0.15, "person": 0.10}
@@ -22,6 +26,7 @@ AUTO, UNCERTAIN, STRONG = 0.82, 0.55, 0.85
 UNCERTAIN_FLAG = "merge_incierto"
 PRECEDENCE = ["github", "rss", "hackernews"]
 MAX_HOPS = 25
+PART = 2048  # items of a key that meet in one part
 
 
 # --- blocking --------------------------------------------------------------------
@@ -38,10 +43,21 @@ def overlapping(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return left.join(right, "key").select("incoming_id", "stored_id").distinct()
 
 
-def candidate_pairs(keys: DataFrame) -> DataFrame:
-    """(lo, hi) of all items that share a key, each pair once."""
-    a, b = keys.withColumnRenamed("id", "lo"), keys.withColumnRenamed("id", "hi")
-    return a.join(b, "key").where("lo < hi").select("lo", "hi").distinct()
+def candidate_pairs(keys: DataFrame, part: int = PART) -> DataFrame:
+    """(lo, hi) of all items that share a key, each pair once. keys: (id, key), each row once.
+
+    A key of more than ``part`` items is dealt into parts by id; a row meets its own part and every other one, and of
+    the two orders in which two parts meet only one is kept.
+    """
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    every = keys.groupBy("id").agg(F.collect_list(F.xxhash64("key")).alias("keys"))  # as many as an item's name has letters
+    own = keys.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / part).cast("int")).join(every, "id")
+    own = own.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    parts = F.sequence(F.lit(0), F.col("parts") - 1)
+    side = lambda name, p, q: own.select("key", F.col("id").alias(name), F.col("keys").alias(f"{name}_keys"), F.explode(parts).alias("x"), "own").select("key", name, f"{name}_keys", F.col("own" if p else "x").alias("p"), F.col("x" if p else "own").alias("q"))
+    both = side("lo", True, False).join(side("hi", False, True), ["key", "p", "q"]).where("lo < hi")
+    first = F.array_min(F.array_intersect("lo_keys", "hi_keys"))
+    return both.where(first == F.xxhash64("key")).select("lo", "hi")
 
 
 def selective(keys: DataFrame, most: int) -> DataFrame:
@@ -101,11 +117,29 @@ def band(score: Column, both_domains: Column) -> Column:
     return F.when((score >= AUTO) & both_domains, "auto").when(score >= UNCERTAIN, "uncertain").otherwise("none")
 
 
-def score_pairs(pairs: DataFrame, items: DataFrame, id_col: str = "id", embeddings: bool = False) -> DataFrame:
-    """``pairs`` (lo, hi) with their scores; items have name, domain, people[, embedding]."""
+def possible(a: str, b: str, floor: float, embeddings: bool = False) -> Column:
+    """Whether the score of struct columns a and b may reach the floor, by bounds that need no name comparison."""
+    domains = F.col(f"{a}.domain").isNotNull() & F.col(f"{b}.domain").isNotNull()
+    people = (F.size(f"{a}.people") > 0) & (F.size(f"{b}.people") > 0)
+    vectors = F.col(f"{a}.embedding").isNotNull() & F.col(f"{b}.embedding").isNotNull() if embeddings else F.lit(False)
+    name = WEIGHTS["name"] * winkler_at_most(F.col(f"{a}.name"), F.col(f"{b}.name"))
+    top, weight = name, F.lit(WEIGHTS["name"])
+    for kind, there, most in (("domain", domains, (F.col(f"{a}.domain") == F.col(f"{b}.domain")).cast("double")), ("person", people, F.lit(1.0)), ("embedding", vectors, F.lit(1.0))):
+        top = top + F.when(there, WEIGHTS[kind] * most).otherwise(0.0)
+        weight = weight + F.when(there, WEIGHTS[kind]).otherwise(0.0)
+    return top / weight >= floor - 1e-9
+
+
+def score_pairs(pairs: DataFrame, items: DataFrame, id_col: str = "id", embeddings: bool = False, floor: float | None = None) -> DataFrame:
+    """``pairs`` (lo, hi) with their scores; items have name, domain, people[, embedding].
+
+    With ``floor``, pairs that cannot reach it are left out before their names are compared.
+    """
     fields = ["name", "domain", "people"] + (["embedding"] if embeddings else [])
     side = lambda key, alias: items.select(F.col(id_col).alias(key), F.struct(*fields).alias(alias))
     joined = pairs.join(side("lo", "a"), "lo").join(side("hi", "b"), "hi")
+    if floor is not None:
+        joined = joined.where(possible("a", "b", floor, embeddings))
     return joined.select("lo", "hi", *pair_score("a", "b", embeddings))
 
 
@@ -123,25 +157,29 @@ def best_candidate(scored: DataFrame, by: str, candidate: str) -> DataFrame:
 
 
 def survivors(edges: DataFrame, items: DataFrame, id_col: str = "id", seen: str = "first_seen_at") -> DataFrame:
-    """(absorbed, survivor, pair_score): each cluster survives as its earliest seen member (then least id).
+    """(absorbed, survivor, pair_score, confidence): each cluster survives as its earliest seen member (then least id).
 
-    edges: (lo, hi, score). pair_score is the strongest edge that touches the absorbed item.
+    edges: (lo, hi, score[, confidence]). pair_score and confidence are those of the strongest edge that touches the
+    absorbed item; of edges without a confidence it is null.
     """
+    if "confidence" not in edges.columns:
+        edges = edges.withColumn("confidence", F.lit(None).cast("string"))
     labels = graph.components(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     members = labels.join(items.select(F.col(id_col).alias("node"), F.col(seen).alias("_seen")), "node")
     first = members.groupBy("label").agg(F.min(F.struct("_seen", "node")).alias("f")).select("label", F.col("f.node").alias("survivor"))
-    touch = edges.select(F.col("lo").alias("node"), "score").union(edges.select(F.col("hi").alias("node"), "score"))
-    strongest = touch.groupBy("node").agg(F.max("score").alias("pair_score"))
+    touch = edges.select(F.explode(F.array("lo", "hi")).alias("node"), "score", "confidence")
+    best = F.max(F.struct("score", (F.col("confidence") == "auto").alias("sure"), "confidence"))
+    strongest = touch.groupBy("node").agg(best.alias("b")).select("node", F.col("b.score").alias("pair_score"), F.col("b.confidence").alias("confidence"))
     absorbed = members.join(first, "label").where("node <> survivor").select(F.col("node").alias("absorbed"), "survivor")
     return absorbed.join(strongest.withColumnRenamed("node", "absorbed"), "absorbed")
 
 
 def resolve_batch(items: DataFrame, most: int | None = None, embeddings: bool = False) -> DataFrame:
-    """(absorbed, survivor, pair_score) of items (id, name, domain, people, first_seen_at), names and domains normalised."""
+    """(absorbed, survivor, pair_score, confidence) of items (id, name, domain, people, first_seen_at), names and domains normalised."""
     keys = keyed(items, "id", F.col("name"), F.col("domain"))
     pairs = candidate_pairs(selective(keys, most) if most else keys).union(same_value(items, "id", F.col("domain"))).union(same_value(items, "id", F.col("name"))).distinct()
-    edges = score_pairs(pairs, items, "id", embeddings).where(F.col("score") >= UNCERTAIN)
-    return survivors(edges.select("lo", "hi", "score"), items)
+    edges = score_pairs(pairs, items, "id", embeddings, UNCERTAIN).where(F.col("score") >= UNCERTAIN)
+    return survivors(table(edges.select("lo", "hi", "score", "confidence"), "merge-edges"), items)
 
 
 def canonical(merges: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
@@ -188,3 +226,13 @@ def provenance(companies: DataFrame, records: DataFrame) -> DataFrame:
     rows = companies.select(F.col("id").alias("company_id"), F.explode(F.array(*own)).alias("y")).select("company_id", "y.*")
     method = F.when(F.col("known"), "reconstructed").otherwise("enrichment-not-attributable")
     return rows.join(won, ["company_id", "field"], "left").select("company_id", "field", F.coalesce("_v", "value").alias("value"), method.alias("method"), "source", "source_record_id")
+
+
+# --- quality -----------------------------------------------------------------------
+
+
+def confusion(rows: DataFrame, said: Column, true: Column) -> DataFrame:
+    """tp, fp, fn, tn, precision and recall of a decision; the shares are 1 where there is nothing to find."""
+    counts = rows.agg(F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"), F.count_if(~said & ~true).alias("tn"))
+    share = lambda other: F.when(F.col("tp") + F.col(other) > 0, F.round(F.col("tp") / (F.col("tp") + F.col(other)), 6)).otherwise(1.0)
+    return counts.select("tp", "fp", "fn", "tn", share("fp").alias("precision"), share("fn").alias("recall"))

@@ -41,9 +41,14 @@ def latest_signals(signals: DataFrame, by: str = "company_id") -> DataFrame:
     return signals.groupBy(by, "kind").agg(F.max(F.struct("observed_at", "value")).alias("m")).select(by, "kind", F.col("m.observed_at").alias("observed_at"), F.col("m.value").alias("value"))
 
 
-def raw_momentum(latest: DataFrame, by: str = "company_id", kinds: list[str] | None = None) -> DataFrame:
-    """Sum over the kinds of log1p of the latest value, negative values as 0."""
-    own = latest.where(F.col("kind").isin(kinds or MOMENTUM_KINDS))
+def last_signal(signals: DataFrame, by: str, order: list[str], column: str) -> DataFrame:
+    """(by, column): a column of the latest signal of each company, as its source or kind; ``order`` tells which is last."""
+    return signals.groupBy(by).agg(F.max_by(column, F.struct(*order)).alias(column))
+
+
+def raw_momentum(latest: DataFrame, by: str = "company_id", kinds: tuple[str, ...] | None = tuple(MOMENTUM_KINDS)) -> DataFrame:
+    """Sum over the kinds (None: all) of log1p of the latest value, negative values as 0."""
+    own = latest if kinds is None else latest.where(F.col("kind").isin(list(kinds)))
     return own.groupBy(by).agg(F.sum(F.log1p(F.greatest(F.lit(0.0), F.col("value")))).alias("raw"))
 
 

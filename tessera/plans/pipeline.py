@@ -1,7 +1,7 @@
 """A whole run: ingest each source, resolve, enrich, score, persist, finish.
 
 A source that fails leaves its cursor and does not stop the others. Companies
-are a function of the stored records in arrival order, so a run over the same
+are a function of the stored records by batch resolution, so a run over the same
 records gives the same companies. Tables are written version beside version
 below ``root``; a run that fails after its start is recorded and raised again.
 """
@@ -22,9 +22,10 @@ from tessera.operators import enrich, incremental, score
 from tessera.plans.thesis import Thesis
 from tessera.schemas import RECORD, RUN, SOURCES, WATERMARK, struct
 from tessera.sources import stores
+from tessera.store import table
 from tessera.streaming.ingest import versions
 
-#: gives a source's records after a cursor (null at first), and the column and value that advance it
+#: gives a source's records after a cursor (null at first); a column ``mark``, else the signals' times, advances it
 Reader = Callable[[str | None], DataFrame]
 
 
@@ -65,8 +66,8 @@ def ingest(store: Store, readers: dict[str, Reader]) -> list[str]:
             failed.append(source)
             continue
         store.write("records", stores.upsert(store.read("records", RECORD), arrived, ["source", "source_id"]).drop("is_new"))
-        observed = arrived.select(F.explode("extracted.signals.observed_at").alias("at"))
-        store.write("watermarks", stores.advance(marks, source, observed, "at", True))
+        seen = arrived.select(F.col("mark").alias("at")) if "mark" in arrived.columns else arrived.select(F.explode("extracted.signals.observed_at").alias("at"))
+        store.write("watermarks", stores.advance(marks, source, seen, "at", True))
     return failed
 
 
@@ -84,7 +85,7 @@ def companies(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.col("extracted.people").alias("people"),
         F.array_max("extracted.signals.observed_at").alias("signal_at"),
     )
-    joined = incremental.resolve_in_order(flat)
+    joined = table(incremental.resolve_together(flat), "companies-of-records")
     members = joined.select("company_id", F.col("record_id").alias("source_record_id"))
     seen = members.join(records.select(F.col("id").alias("source_record_id"), "fetched_at", "extracted.signals"), "source_record_id")
     spans = seen.groupBy("company_id").agg(F.min("fetched_at").alias("first_seen_at"), F.max("fetched_at").alias("last_seen_at"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.operators import resolve
 from tessera.schemas import STAGES
 from tessera.sources import stores
+from tessera.store import table
 
 MOST, USUAL = 100, 20
 
@@ -104,6 +106,11 @@ def check_uuid(value: str) -> str:
         raise invalid("id must be a uuid") from e
 
 
+def check_company(value: str) -> str:
+    """A company id: that of its first record after "c-", or a uuid."""
+    return value if re.fullmatch(r"c-[\w:.-]+", value) else check_uuid(value)
+
+
 def deal_detail(deals: DataFrame, companies: DataFrame, members: DataFrame, records: DataFrame, run_id: str, company_id: str) -> DataFrame:
     """The deal, its company and its records in one row."""
     own = members.where(F.col("company_id") == company_id).join(records.withColumnRenamed("id", "source_record_id"), "source_record_id")
@@ -112,11 +119,24 @@ def deal_detail(deals: DataFrame, companies: DataFrame, members: DataFrame, reco
     return deal.join(companies.withColumnRenamed("id", "company_id").drop("flags"), "company_id").join(listed, "company_id", "left")
 
 
+def ranked(deals: DataFrame) -> DataFrame:
+    """``deals`` with their rank by score and then id.
+
+    Rows are sorted by ranges of (score, id), so that even those of one score go to many tasks, and written with
+    their places; the counts of the ranges before a row give the rest of its rank.
+    """
+    order = [F.desc("score"), F.asc("company_id")]
+    placed = table(deals.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_u", F.monotonically_increasing_id()), "ranked")
+    placed = placed.withColumn("_p", F.shiftright("_u", 33)).withColumn("_i", F.col("_u").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each range
+    starts = placed.groupBy("_p").agg(F.count("*").alias("_t")).select("_p", (F.sum("_t").over(before) - F.col("_t")).alias("_s"))
+    return placed.join(F.broadcast(starts), "_p").withColumn("rank", (F.col("_s") + F.col("_i") + 1).cast("int")).drop("_u", "_p", "_i", "_s")
+
+
 def ranked_text(deals: DataFrame, companies: DataFrame) -> DataFrame:
     """(rank, line, rationale) as printed; a company without a row shows its id."""
     names = companies.select(F.col("id").alias("company_id"), "canonical_name")
-    rank = F.row_number().over(Window.orderBy(F.desc("score"), "company_id"))
-    rows = deals.join(names, "company_id", "left").withColumn("rank", rank)
+    rows = ranked(deals).join(names, "company_id", "left")
     flags = F.when(F.size("flags") > 0, F.concat(F.lit(" ["), F.array_join("flags", ", "), F.lit("]"))).otherwise("")
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.coalesce("canonical_name", F.col("company_id").cast("string")), F.lit(" — score "), F.format_string("%.1f", F.col("score")), flags)
     return rows.select("rank", line.alias("line"), "rationale").orderBy("rank")

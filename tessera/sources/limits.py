@@ -1,4 +1,4 @@
-"""Politeness of live connectors: token bucket, backoff, rate-limit waits. Runs on the driver."""
+"""Politeness of live connectors: token bucket, backoff, rate-limit waits, cancellation."""
 
 from __future__ import annotations
 
@@ -52,3 +52,38 @@ def retry(call: Callable[[], tuple[int, object]], attempts: int = 4, wait: Calla
             if status not in TRANSIENT or n == attempts:
                 return status, value
         sleep(wait(n))
+
+
+class Cancelled(RuntimeError):
+    """The caller has asked to stop."""
+
+
+def polite(
+    call: Callable[[], tuple[int, Mapping[str, str], object]],
+    bucket: TokenBucket | None = None,
+    stopped: Callable[[], bool] = lambda: False,
+    sleep: Callable[[float], None] = time.sleep,
+    now: Callable[[], float] = time.time,
+    attempts: int = 4,
+    wait: Callable[[int], float] = backoff,
+):
+    """(status, headers, value) of ``call`` within the bucket's rate.
+
+    Transient failures are tried again; a refusal because the limit is used up (403 with no requests remaining) waits
+    once for its reset and is tried once more. Cancellation is looked for before each request.
+    """
+
+    def one() -> tuple[int, object]:
+        if stopped():
+            raise Cancelled("stopped before a request")
+        if bucket:
+            bucket.take()
+        status, headers, value = call()
+        return status, (headers, value)
+
+    for waited in (False, True):
+        status, (headers, value) = retry(one, attempts, wait, sleep)
+        if waited or status != 403 or headers.get("x-ratelimit-remaining") != "0":
+            break
+        sleep(reset_wait(headers, now()))
+    return status, headers, value

@@ -1,12 +1,15 @@
 """Mentions of companies from landed payloads: repository search, launch posts, feeds.
 
 Payload files are read with explicit schemas, in batch or as a stream. Each
-reader gives rows of ``schemas.RECORD``; ids come from a hash of source and
-source id, so a repeated read gives the same rows.
+reader gives rows of ``schemas.RECORD`` and a column ``mark``, the value that advances
+the source's watermark: creation times of repositories and posts, publication times of
+feed items. Ids come from a hash of source and source id, so a repeated read gives the
+same rows. A limit keeps the first rows of a stated order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +18,9 @@ from pyspark.sql import functions as F
 from tessera.functions import domain as D
 from tessera.functions import text as T
 from tessera.schemas import SIGNAL
+from tessera.store import table
 
-REPO = "id long, name string, html_url string, description string, homepage string, created_at string, stargazers_count long, owner struct<login string>"
+REPO = "id long, name string, html_url string, description string, homepage string, created_at string, stargazers_count long, owner struct<login string>, fork boolean, archived boolean"
 POST = "objectID string, created_at_i long, title string, url string, points long, author string"
 STARS = "full_name string, starred_at timestamp"
 ITEM = "title string, link string, guid string, pubDate string, description string"
@@ -44,7 +48,7 @@ def signal(kind: str, value: Column, at: Column, source: str, url: Column) -> Co
     return F.struct(F.lit(kind).alias("kind"), value.cast("double").alias("value"), at.alias("observed_at"), F.lit(source).alias("source"), url.alias("evidence_url"))
 
 
-def record(rows: DataFrame, source: str, source_id: Column, fetched_at: Column, **fields: Column) -> DataFrame:
+def record(rows: DataFrame, source: str, source_id: Column, fetched_at: Column, mark: Column, **fields: Column) -> DataFrame:
     none = F.lit(None).cast("string")
     own = {"name": none, "domain": none, "description": none, "url": none, "people": F.lit(None).cast("array<string>"), "location": none} | fields
     signals = F.filter(own.pop("signals"), lambda s: s.isNotNull()).cast(f"array<{SIGNAL}>").alias("signals")
@@ -52,7 +56,7 @@ def record(rows: DataFrame, source: str, source_id: Column, fetched_at: Column,
     key = F.sha2(F.concat_ws("\0", F.lit(source), source_id), 256)
     return rows.select(
         key.alias("id"), F.lit(source).alias("source"), source_id.alias("source_id"), fetched_at.alias("fetched_at"), raw.alias("raw"),
-        F.struct(*[v.alias(k) for k, v in own.items()], signals).alias("extracted"),
+        F.struct(*[v.alias(k) for k, v in own.items()], signals).alias("extracted"), mark.cast("string").alias("mark"),
     )
 
 
@@ -76,16 +80,27 @@ def repos(items: DataFrame, fetched_at: Column, deltas: DataFrame | None = None)
     owner = filled("owner.login")
     url = F.col("html_url")
     return record(
-        rows, "github", F.col("id").cast("string"), fetched_at,
+        rows, "github", F.col("id").cast("string"), fetched_at, F.col("created_at"),
         name=F.col("name"), domain=D.homepage_host(F.col("homepage")), description=F.nullif("description", F.lit("")), url=url,
         people=F.when(owner.isNotNull(), F.array(owner)),
         signals=F.array(signal("github_stars", F.col("stargazers_count"), fetched_at, "github", url), F.when(delta.isNotNull(), signal("github_stars_delta_30d", delta, fetched_at, "github", url))),
     )
 
 
-def read_repos(spark: SparkSession, path: str, fetched_at: Column, since: str | None = None, limit: int | None = None, deltas: DataFrame | None = None) -> DataFrame:
-    """Items of landed search pages, newest stars first; a malformed page fails the read."""
+def search_terms(since: str | None = None) -> str:
+    """The search of live connectors: enough stars, no forks, no archives, created after the watermark."""
+    return " ".join([f"stars:>={MIN_STARS}", "fork:false", "archived:false", *([f"created:>{since}"] if since else [])])
+
+
+def read_repos(spark: SparkSession, path: str, fetched_at: Column, since: str | None = None, limit: int | None = None, deltas: DataFrame | None = None, searched: bool = True) -> DataFrame:
+    """Items of landed search pages, most stars first; a malformed page fails the read.
+
+    Pages of a search hold what :func:`search_terms` asks for; of others (``searched`` false) the same is chosen here.
+    """
     items = spark.read.schema(REPO_PAGE).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.inline("items"))
+    if not searched:
+        unwanted = F.coalesce("fork", F.lit(False)) | F.coalesce("archived", F.lit(False))
+        items = items.where((F.col("stargazers_count") >= MIN_STARS) & ~unwanted)
     if since:
         items = items.where(F.col("created_at") > since)
     if limit:
@@ -101,7 +116,7 @@ def posts(hits: DataFrame, fetched_at: Column) -> DataFrame:
     title = T.show_title(F.col("title"))
     page = F.concat(F.lit(ITEM_PAGE), F.col("objectID"))
     return record(
-        hits, "hackernews", F.col("objectID"), fetched_at,
+        hits, "hackernews", F.col("objectID"), fetched_at, F.col("created_at_i"),
         name=title["name"], description=title["description"], url=F.nullif("url", F.lit("")),
         people=F.when(filled("author").isNotNull(), F.array("author")),
         signals=F.array(signal("hn_points", F.coalesce("points", F.lit(0)), fetched_at, "hackernews", page), signal("hn_show", F.lit(1), fetched_at, "hackernews", page)),
@@ -138,21 +153,42 @@ def feed_items(items: DataFrame, fetched_at: Column, since: Column | None = None
         rows = rows.where(F.col("_at") > since)
     link = D.safe_url(filled("link"))
     return record(
-        rows, "rss", stable_id(F.col("guid"), F.col("id"), F.col("link"), F.col("title")), fetched_at,
+        rows, "rss", stable_id(F.col("guid"), F.col("id"), F.col("link"), F.col("title")), fetched_at, F.col("_at"),
         name=filled("title"), description=F.coalesce(filled("snippet"), filled("summary")), url=link,
         signals=F.array(signal("launch", F.lit(1), F.col("_at"), "rss", link)),
     )
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
+def read_feed(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """Items of RSS 2.0 and Atom files in one shape."""
-    read = lambda tag, ddl: spark.read.format("xml").option("rowTag", tag).schema(ddl).load(path)
+    read = lambda tag, ddl: spark.read.format("xml").option("rowTag", tag).option("mode", mode).schema(ddl).load(path)
     none = F.lit(None).cast("string")
     rss = read("item", ITEM).select("title", "link", "guid", none.alias("id"), none.alias("iso"), F.col("pubDate").alias("rfc"), F.col("description").alias("snippet"), none.alias("summary"))
     atom = read("entry", ENTRY).select("title", F.col("link._href").alias("link"), none.alias("guid"), "id", F.coalesce("published", "updated").alias("iso"), none.alias("rfc"), none.alias("snippet"), "summary")
     return rss.unionByName(atom)
 
 
+def read_feeds(spark: SparkSession, feeds: list[str], fetched_at: Column, since: str | None = None, limit: int | None = None, failed: Callable[[str, Exception], None] = lambda feed, error: None) -> DataFrame:
+    """Records of many feeds (paths), in their order; one that cannot be read is reported and left out, the others stay.
+
+    The limit holds over all feeds: the first feeds' items, the latest of each first.
+    """
+    after = F.lit(since).cast("timestamp") if since else None
+    out = []
+    for n, feed in enumerate(feeds):
+        try:
+            rows = feed_items(read_feed(spark, feed, "FAILFAST"), fetched_at, after).withColumn("_feed", F.lit(n))
+            out.append(table(rows, "feed"))  # read now, so that its failure is its own
+        except Exception as error:  # whatever is wrong with one feed concerns that feed alone
+            failed(feed, error)
+    if not out:
+        return feed_items(spark.createDataFrame([], "title string, link string, guid string, id string, iso string, rfc string, snippet string, summary string"), fetched_at)
+    rows = together(out)
+    if limit:
+        rows = rows.orderBy("_feed", F.desc("mark"), "source_id").limit(limit)
+    return rows.drop("_feed")
+
+
 def together(parts: list[DataFrame]) -> DataFrame:
     """All sources' records, in the order given."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -77,17 +77,30 @@ def assembled(companies: DataFrame, members: DataFrame, signals: DataFrame) -> D
     return base.join(own.withColumnRenamed("company_id", "id"), "id", "left").join(seen.withColumnRenamed("company_id", "id"), "id", "left")
 
 
-def advance(watermarks: DataFrame, source: str, seen: DataFrame, column: str, succeeded: bool) -> DataFrame:
-    """The watermark after a source's run: the largest value seen, never smaller than before, unchanged after a failure."""
-    if not succeeded:
-        return watermarks
-    top = seen.agg(F.max(column).cast("string").alias("_w")).select(F.lit(source).alias("source"), "_w").where("_w is not null")
+def advanced(watermarks: DataFrame, seen: DataFrame) -> DataFrame:
+    """Watermarks (source, watermark) after rows (source, value) were seen: the largest value, never smaller than before.
+
+    Watermarks are texts; two that are numbers are compared as numbers.
+    """
+    top = seen.where("value is not null").groupBy("source").agg(F.max("value").cast("string").alias("_w"))
     joined = watermarks.join(top, "source", "full_outer")
     number = lambda c: F.col(c).try_cast("double")
     ahead = F.coalesce(number("_w") > number("watermark"), F.col("_w") > F.col("watermark"), F.lit(True))
     return joined.select("source", F.when(F.col("_w").isNotNull() & ahead, F.col("_w")).otherwise(F.col("watermark")).alias("watermark"))
 
 
+def advance(watermarks: DataFrame, source: str, seen: DataFrame, column: str, succeeded: bool) -> DataFrame:
+    """The watermarks after one source's run: advanced by the values it saw, unchanged after a failure."""
+    return advanced(watermarks, seen.select(F.lit(source).alias("source"), F.col(column).alias("value"))) if succeeded else watermarks
+
+
+def after(rows: DataFrame, watermarks: DataFrame, source: str, at: str) -> DataFrame:
+    """``rows`` beyond the watermark of their source; all rows of a source without one."""
+    marks = watermarks.select(F.col("source").alias(source), F.col("watermark").alias("_w"))
+    mark = F.col("_w").cast(rows.schema[at].dataType)
+    return rows.join(marks, source, "left").where(F.col("_w").isNull() | (F.col(at) > mark)).drop("_w")
+
+
 def run_status(failed: list[str], sources: list[str]) -> str:
     return "completed" if not failed else "partial"
 
@@ -106,8 +119,9 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return runs.where(F.coalesce("status", F.lit("running")).isin("completed", "partial")).orderBy(F.desc("finished_at"), "id").limit(1)
 
 
-def page(records: DataFrame, after: tuple | None, limit: int) -> DataFrame:
-    """Records by (fetched_at, id) after a cursor."""
-    if after:
-        records = records.where((F.col("fetched_at") > F.lit(after[0])) | ((F.col("fetched_at") == F.lit(after[0])) & (F.col("id") > F.lit(after[1]))))
+def page(records: DataFrame, after: object, limit: int) -> DataFrame:
+    """Records by (fetched_at, id) after the one with the id ``after``; the first page if there is no such record."""
+    cursor = records.where(F.col("id") == F.lit(after)).agg(F.max("fetched_at")).first()[0] if after is not None else None
+    if cursor is not None:
+        records = records.where((F.col("fetched_at") > F.lit(cursor)) | ((F.col("fetched_at") == F.lit(cursor)) & (F.col("id") > F.lit(after))))
     return records.orderBy("fetched_at", "id").limit(limit)

@@ -68,3 +68,10 @@ def spent(*tables: DataFrame) -> None:
 def clear(spark: SparkSession) -> None:
     """Deletes all tables of this application; results that still read them must have been written."""
     _delete(spark, own_folder(spark))
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the files and folders in a folder of any file system that Spark knows, by name; none if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(str(x.getPath()) for x in fs.listStatus(at)) if fs.exists(at) else []
