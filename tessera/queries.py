@@ -48,8 +48,7 @@ def latest_per_kind(spark, sf_dir):
 
 
 def _momentum(spark, sf_dir):
-    kinds = signals(spark, sf_dir).select("kind").distinct().agg(F.array_sort(F.collect_set("kind"))).first()[0]
-    return score.raw_momentum(latest_per_kind(spark, sf_dir), kinds=kinds)
+    return score.raw_momentum(latest_per_kind(spark, sf_dir), kinds=None)
 
 
 MOMENTUM_SQL = f"SELECT company_id, sum(ln(1 + greatest(0, value))) AS raw FROM ({LATEST_SQL}) GROUP BY company_id"
@@ -86,8 +85,7 @@ def recent_counts(spark, sf_dir):
 
 
 def last_signal_kind(spark, sf_dir):
-    top = F.max_by("kind", F.struct("observed_at", "event_id"))
-    return signals(spark, sf_dir).groupBy("company_id").agg(top.alias("kind"))
+    return score.last_signal(signals(spark, sf_dir), "company_id", ["observed_at", "event_id"], "kind")
 
 
 # --- names and domains -------------------------------------------------------------
@@ -111,14 +109,28 @@ NAMES_SQL = f"SELECT p_partkey AS id, 'Čafé ' || p_name || {_CASE} AS name FRO
 NORMALIZED_SQL = rf"SELECT id, name, trim(regexp_replace(regexp_replace(regexp_replace(trim(strip_accents(lower(name))), '{_SUFFIX_RE}', ''), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS normalized FROM ({NAMES_SQL})"
 
 
+#: hosts that the pages' own are given in turn: plain, country, hosting, unlisted, address
+HOSTS = ["example.com", "Shop.example.co.uk:8080", "team.github.io", "example.internal", "vercel.app", "10.0.0.1", "example.de", "user@www.example.org"]
+
+
 def page_domains(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
+    other = F.element_at(F.array(*[F.lit(h) for h in HOSTS]), (F.col("page_id") % len(HOSTS) + 1).cast("int"))
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://"), other, F.lit("/x?y#z"))).otherwise(F.regexp_replace("url", r"example\.[a-z]+", other))
+    pages = pages.withColumn("url", F.when(F.col("page_id") % 7 == 0, F.regexp_replace(url, "^https?", "ftp")).otherwise(url))
     host = D.host(F.col("url"))
-    return pages.select("page_id", host.alias("host"), D.normalize_domain(F.col("url")).alias("domain"), D.generic(host).alias("generic"), D.safe_url(F.col("url")).isNotNull().alias("safe"))
+    return pages.select("page_id", host.alias("host"), D.normalize_domain(F.col("url")).alias("domain"), D.generic(host).alias("generic"), D.safe_url(F.col("url")).isNotNull().alias("safe"), D.homepage_host(F.col("url")).alias("homepage"))
 
 
-HOST_SQL = r"regexp_extract(lower(url), '^[a-z]+://([^/?#:]+)', 1)"
-DOMAINS_SQL = rf"SELECT page_id, {HOST_SQL} AS host, regexp_extract({HOST_SQL}, '([^.]+\.[^.]+)$', 1) AS domain, false AS generic, regexp_matches(lower(url), '^https?://') AS safe FROM pages"
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+DOMAINS_SQL = rf"""WITH u AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://' || other || '/x?y#z' ELSE regexp_replace(url, 'example\.[a-z]+', other) END AS url FROM (SELECT *, {_LIST(HOSTS)}[page_id % {len(HOSTS)} + 1] AS other FROM pages)),
+v AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN regexp_replace(url, '^https?', 'ftp') ELSE url END AS url FROM u),
+h AS (SELECT *, string_split(string_split_regex(split_part(lower(url), '://', 2), '[/?#]')[1], '@')[-1] AS a FROM v),
+w AS (SELECT *, split_part(a, ':', 1) AS host FROM h),
+l AS (SELECT *, string_split(regexp_replace(host, '^www\.', ''), '.') AS x FROM w),
+z AS (SELECT *, CASE WHEN len(x) > 1 AND regexp_matches(x[-1], '^[a-z][a-z]$') AND list_contains({_LIST(D.SECOND_LEVELS)}, x[-2]) THEN 2 WHEN regexp_matches(x[-1], '^[a-z][a-z]$') OR list_contains({_LIST(D.GENERIC_NAMES)}, x[-1]) THEN 1 ELSE 0 END AS suffix,
+  len(list_filter({_LIST(D.GENERIC_HOSTS)}, lambda g: host = g OR ends_with(host, '.' || g))) > 0 AS generic FROM l)
+SELECT page_id, host, CASE WHEN NOT generic AND suffix > 0 AND len(x) > suffix THEN array_to_string(x[len(x) - suffix:], '.') END AS domain, generic, regexp_matches(lower(url), '^https?://') AS safe, CASE WHEN contains(host, '.') THEN host END AS homepage FROM z"""
 
 
 def show_titles(spark, sf_dir):
@@ -142,19 +154,20 @@ ENRICH_SQL = rf"SELECT doc_id, coalesce(CASE WHEN doc_id % 8 = 0 THEN 'data' END
 
 
 def _items(spark, sf_dir) -> DataFrame:
-    """Distinct part names as entities, with a domain for some and people for some."""
-    names = read(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"), F.min("p_brand").alias("brand"))
+    """All distinct part names and brands as entities, with a domain for some and people for all."""
+    names = read(spark, sf_dir, "part").groupBy("p_name", F.col("p_brand").alias("brand")).agg(F.min("p_partkey").alias("id"))
     low = T.normalize_name(F.col("p_name"))
     domain = F.when(F.length("p_name") % 3 > 0, F.concat(F.regexp_replace("brand", "[^A-Za-z0-9]", ""), F.lit(".example")))
     return names.select("id", low.alias("name"), F.lower(domain).alias("domain"), F.array(F.col("brand")).alias("people"), F.col("id").alias("first_seen_at"))
 
 
-ITEMS_SQL = r"SELECT id, trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}\s]', ' ', 'g')) AS name, CASE WHEN length(p_name) % 3 > 0 THEN lower(regexp_replace(brand, '[^A-Za-z0-9]', '', 'g')) || '.example' END AS domain, brand FROM (SELECT p_name, min(p_partkey) AS id, min(p_brand) AS brand FROM part GROUP BY p_name)"
+ITEMS_SQL = r"SELECT id, trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}\s]', ' ', 'g')) AS name, CASE WHEN length(p_name) % 3 > 0 THEN lower(regexp_replace(brand, '[^A-Za-z0-9]', '', 'g')) || '.example' END AS domain, brand FROM (SELECT p_name, min(p_partkey) AS id, p_brand AS brand FROM part GROUP BY p_name, p_brand)"
 KEYS_SQL = f"SELECT DISTINCT id, key FROM (SELECT id, 'domain:' || domain AS key FROM ({ITEMS_SQL}) WHERE domain IS NOT NULL UNION ALL SELECT id, 'name4:' || name[1:4] FROM ({ITEMS_SQL}) WHERE length(name) >= 4 UNION ALL SELECT id, 'trigram:' || name[i:i + 2] FROM (SELECT id, name, unnest(range(1, length(name) - 1)) AS i FROM ({ITEMS_SQL})))"
 PAIRS_SQL = f"SELECT DISTINCT a.id AS lo, b.id AS hi FROM ({KEYS_SQL}) a JOIN ({KEYS_SQL}) b USING (key) WHERE a.id < b.id"
 SCORES_SQL = f"""SELECT lo, hi, round(top / weight, 6) AS score,
-  CASE WHEN top / weight >= 0.82 AND both_ THEN 'auto' WHEN top / weight >= 0.55 THEN 'uncertain' ELSE 'none' END AS confidence
-FROM (SELECT lo, hi, both_, CASE WHEN both_ THEN 0.5 * same ELSE 0 END + 0.25 * jw + 0.1 * person AS top, CASE WHEN both_ THEN 0.5 ELSE 0 END + 0.25 + 0.1 AS weight
+  CASE WHEN top / weight >= 0.82 AND both_ THEN 'auto' WHEN top / weight >= 0.55 THEN 'uncertain' ELSE 'none' END AS confidence,
+  concat_ws(',', CASE WHEN both_ AND same = 1 THEN 'domain' END, CASE WHEN jw >= 0.85 THEN 'name-similarity' END, CASE WHEN person = 1 THEN 'shared-person' END) AS matched_signals
+FROM (SELECT lo, hi, both_, same, jw, person, CASE WHEN both_ THEN 0.5 * same ELSE 0 END + 0.25 * jw + 0.1 * person AS top, CASE WHEN both_ THEN 0.5 ELSE 0 END + 0.25 + 0.1 AS weight
 FROM (SELECT p.lo, p.hi, a.domain IS NOT NULL AND b.domain IS NOT NULL AS both_, CAST(a.domain = b.domain AS INT) AS same, CAST(a.brand = b.brand AS INT) AS person,
   j + 0.1 * pre * (1 - j) AS jw FROM (SELECT p.*, jaro_similarity(a.name, b.name) AS j,
     CASE WHEN a.name[1:4] = b.name[1:4] THEN least(4, length(a.name), length(b.name)) WHEN a.name[1:3] = b.name[1:3] THEN 3 WHEN a.name[1:2] = b.name[1:2] THEN 2 WHEN a.name[1:1] = b.name[1:1] THEN 1 ELSE 0 END AS pre
@@ -171,7 +184,7 @@ def candidate_pairs(spark, sf_dir):
 
 def pair_scores(spark, sf_dir):
     scored = resolve.score_pairs(candidate_pairs(spark, sf_dir), _items(spark, sf_dir))
-    return scored.select("lo", "hi", F.round("score", 6).alias("score"), "confidence")
+    return scored.select("lo", "hi", F.round("score", 6).alias("score"), "confidence", F.array_join("matched_signals", ",").alias("matched_signals"))
 
 
 def best_candidates(spark, sf_dir):
@@ -180,29 +193,16 @@ def best_candidates(spark, sf_dir):
 
 
 def resolved(spark, sf_dir):
+    """Merges of all items; the SQL closure of so many edges is too slow, so a test compares with all pairs on a small table."""
     merges = resolve.resolve_batch(_items(spark, sf_dir))
-    return merges.select("absorbed", "survivor", F.round("pair_score", 6).alias("pair_score"))
-
-
-RESOLVED_SQL = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT lo, hi, score FROM ({SCORES_SQL}) WHERE confidence <> 'none'),
-both_ AS MATERIALIZED (SELECT lo AS a, hi AS b, score FROM e UNION ALL SELECT hi, lo, score FROM e),
-reach(a, b) AS (SELECT a, a FROM both_ UNION SELECT r.a, x.b FROM reach r JOIN both_ x ON r.b = x.a)
-SELECT r.a AS absorbed, min(r.b) AS survivor, max(s.top) AS pair_score
-FROM reach r JOIN (SELECT a, max(score) AS top FROM both_ GROUP BY a) s ON s.a = r.a GROUP BY r.a HAVING min(r.b) <> r.a"""
+    return merges.select("absorbed", "survivor", F.round("pair_score", 6).alias("pair_score"), "confidence")
 
 
 def order_components(spark, sf_dir):
-    """Components of customers and the parts of one brand that they ordered: a graph of moderate width."""
+    """Components of all customers and the parts that they ordered; SQL cannot close the whole graph, so a test compares with union-find."""
     o, l = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
-    own = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).where((F.col("l_quantity") >= 50) & (F.col("o_orderpriority") == "1-URGENT"))
-    edges = own.select((-F.col("l_partkey")).alias("v"), F.col("o_custkey").alias("u")).distinct()
-    return graph.components(edges).select("node", "label")
-
-
-COMPONENTS_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT o_custkey AS u, -l_partkey AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity >= 50 AND o_orderpriority = '1-URGENT'),
-both_ AS MATERIALIZED (SELECT u AS a, v AS b FROM e UNION SELECT v, u FROM e),
-reach(a, b) AS (SELECT a, a FROM both_ UNION SELECT r.a, x.b FROM reach r JOIN both_ x ON r.b = x.a)
-SELECT a AS node, min(b) AS label FROM reach GROUP BY a"""
+    own = o.join(l, F.col("o_orderkey") == F.col("l_orderkey"))
+    return graph.components(own.select((-F.col("l_partkey")).alias("v"), F.col("o_custkey").alias("u")).distinct()).select("node", "label")
 
 
 def merge_chains(spark, sf_dir):
@@ -226,14 +226,21 @@ _THESIS_VECTOR = "[" + ", ".join(f"CAST({round(((i * 37) % 64) / 32 - 1, 6)} AS
 
 
 def text_hashes(spark, sf_dir):
-    """FNV-1a of part names, and the length of their deterministic vectors."""
+    """FNV-1a of part names, and three components, the length and the norm of their deterministic vectors."""
     rows = read(spark, sf_dir, "part").select("p_partkey", "p_name")
     v = embed.deterministic(F.col("p_name"))
-    return rows.select("p_partkey", embed.fnv(F.col("p_name")).alias("hash"), F.size(v).alias("dimensions"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
+    return rows.select("p_partkey", embed.fnv(F.col("p_name")).alias("hash"), *[F.round(v[i].cast("double"), 6).alias(n) for n, i in (("first", 0), ("middle", 191), ("last", 383))], F.size(v).alias("dimensions"), F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
 
 
-HASHES_SQL = """SELECT p_partkey, list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS HUGEINT))),
-  lambda h, c: (xor(CAST(h AS BIGINT), CAST(c AS BIGINT))::HUGEINT * 16777619) % 4294967296)::BIGINT AS hash, 384 AS dimensions, 1.0 AS norm FROM part"""
+_M = "4294967296"
+HASHES_SQL = f"""WITH h AS (SELECT p_partkey, list_reduce(list_prepend(CAST(2166136261 AS HUGEINT), list_transform(string_split(p_name, ''), lambda c: CAST(ascii(c) AS HUGEINT))),
+  lambda h, c: (xor(CAST(h AS BIGINT), CAST(c AS BIGINT))::HUGEINT * 16777619) % {_M})::BIGINT AS hash FROM part),
+s AS (SELECT *, list_transform(range(1, 385), lambda i: CAST((hash + CAST(i AS HUGEINT) * 1831565813) % {_M} AS BIGINT)) AS s FROM h),
+t AS (SELECT *, list_transform(s, lambda x: CAST((CAST(xor(x, x >> 15) AS HUGEINT) * (x | 1)) % {_M} AS BIGINT)) AS t FROM s),
+u AS (SELECT *, list_transform(t, lambda x: xor(x, CAST((x + CAST(xor(x, x >> 7) AS HUGEINT) * (x | 61) % {_M}) % {_M} AS BIGINT))) AS u FROM t),
+x AS (SELECT *, list_transform(u, lambda x: CAST(xor(x, x >> 14) AS DOUBLE) / {_M}.0::DOUBLE * 2 - 1) AS x FROM u),
+n AS (SELECT *, sqrt(list_sum(list_transform(x, lambda y: y * y))) AS n FROM x)
+SELECT p_partkey, hash, round(CAST(CAST(x[1] / n AS FLOAT) AS DOUBLE), 6) AS first, round(CAST(CAST(x[192] / n AS FLOAT) AS DOUBLE), 6) AS middle, round(CAST(CAST(x[384] / n AS FLOAT) AS DOUBLE), 6) AS last, 384 AS dimensions, 1.0 AS norm FROM n"""
 
 
 # --- scoring -------------------------------------------------------------------------
@@ -281,7 +288,7 @@ def scored_deals(spark, sf_dir):
     """The whole scoring: filters, components, percentile among survivors, weighted score, flags, rationale."""
     d = _deals(spark, sf_dir)
     parts = [F.round(F.col(f"breakdown.{k}.value"), 6).alias(k) for k in ("semantic", "momentum", "keywords", "recency")]
-    return d.select("company_id", F.round("score", 6).alias("score"), *parts, F.array_join("flags", ",").alias("flags"), F.col("breakdown.failed_hard_filter").alias("failed"), F.length("rationale").cast("long").alias("told"))
+    return d.select("company_id", F.round("score", 6).alias("score"), *parts, F.array_join("flags", ",").alias("flags"), F.col("breakdown.failed_hard_filter").alias("failed"), "rationale")
 
 
 SCORED_SQL = f"""WITH c AS ({COMPANIES_SQL}), f AS (SELECT *, {FILTER_SQL} AS failed, {KEYWORDS_SQL} AS kw FROM c),
@@ -299,10 +306,10 @@ x AS (SELECT *, concat_ws('; ', CASE WHEN known <> '' THEN 'known context — '
 SELECT id AS company_id, CASE WHEN failed IS NULL THEN round(100 * (c1 + c2 + c3 + c4), 6) ELSE 0 END AS score, round(coalesce(semantic, 0), 6) AS semantic, round(coalesce(momentum, 0), 6) AS momentum,
   round(coalesce(keywords, 0), 6) AS keywords, round(coalesce(recency, 0), 6) AS recency,
   array_to_string(CASE WHEN coalesce(estimated_stage, 'unknown') = 'unknown' THEN list_append(flags, 'etapa incierta') ELSE flags END, ',') AS flags, failed,
-  CAST(length(CASE WHEN failed IS NULL THEN canonical_name || ' scores ' || CAST(CAST(floor(100 * (c1 + c2 + c3 + c4) + 0.5) AS BIGINT) AS VARCHAR) || '/100 against the "{THESIS.name}" thesis, ' ||
+  CASE WHEN failed IS NULL THEN canonical_name || ' scores ' || CAST(CAST(floor(100 * (c1 + c2 + c3 + c4) + 0.5) AS BIGINT) AS VARCHAR) || '/100 against the "{THESIS.name}" thesis, ' ||
     CASE WHEN q[1].c >= 0 THEN 'no single component stood out — every component contributed only modestly' ELSE 'driven mostly by ' || q[1].l || CASE WHEN q[2].c < 0 AND q[2].c <= 0.75 * q[1].c THEN ' and ' || q[2].l ELSE '' END END || '.' ||
     ' Component contributions (points out of 100): semantic ' || CAST(CAST(floor(100 * c1 + 0.5) AS BIGINT) AS VARCHAR) || ', momentum ' || CAST(CAST(floor(100 * c2 + 0.5) AS BIGINT) AS VARCHAR) || ', keywords ' || CAST(CAST(floor(100 * c3 + 0.5) AS BIGINT) AS VARCHAR) || ', recency ' || CAST(CAST(floor(100 * c4 + 0.5) AS BIGINT) AS VARCHAR) || '.'
-    ELSE canonical_name || ' scored 0 against the "{THESIS.name}" thesis: ' || failed || '. This is a hard-filter disqualification, so no weighted component score applies.' END || CASE WHEN extras <> '' THEN ' ' || extras || '.' ELSE '' END) AS BIGINT) AS told
+    ELSE canonical_name || ' scored 0 against the "{THESIS.name}" thesis: ' || failed || '. This is a hard-filter disqualification, so no weighted component score applies.' END || CASE WHEN extras <> '' THEN ' ' || upper(extras[1:1]) || extras[2:] || '.' ELSE '' END AS rationale
 FROM x"""
 
 
@@ -385,11 +392,13 @@ def member_union(spark, sf_dir):
 def incremental_read(spark, sf_dir):
     """Two runs over the events of each type: the first sees what came before a time, the second what its cursor leaves."""
     e = read(spark, sf_dir, "events").select("event_type", "event_id", "ts")
-    first = e.where(F.col("event_id") % 10 < 7)
-    marks = first.groupBy("event_type").agg(F.max("ts").alias("watermark"))
-    late = e.join(marks, "event_type").where(F.col("ts") > F.col("watermark"))
-    seen = late.groupBy("event_type").agg(F.count("*").alias("fresh"), F.max("ts").alias("top"))
-    return marks.join(seen, "event_type", "left").select("event_type", F.coalesce("fresh", F.lit(0)).alias("fresh"), F.greatest("watermark", "top").alias("watermark"))
+    seen = lambda rows: rows.select(F.col("event_type").alias("source"), F.col("ts").alias("value"))
+    none = spark.createDataFrame([], "source string, watermark string")
+    marks = stores.advanced(none, seen(e.where(F.col("event_id") % 10 < 7)))
+    late = stores.after(e, marks, "event_type", "ts")
+    fresh = late.groupBy("event_type").agg(F.count("*").alias("fresh"))
+    now_ = stores.advanced(marks, seen(late)).select(F.col("source").alias("event_type"), F.col("watermark").cast("timestamp_ntz").alias("watermark"))
+    return now_.join(fresh, "event_type", "left").select("event_type", F.coalesce("fresh", F.lit(0)).alias("fresh"), "watermark")
 
 
 INCREMENTAL_SQL = "WITH m AS (SELECT event_type, max(ts) FILTER (event_id % 10 < 7) AS watermark FROM events GROUP BY event_type) SELECT e.event_type, count(*) FILTER (ts > watermark) AS fresh, greatest(any_value(watermark), max(ts) FILTER (ts > watermark)) AS watermark FROM events e JOIN m USING (event_type) GROUP BY e.event_type"
@@ -397,7 +406,7 @@ INCREMENTAL_SQL = "WITH m AS (SELECT event_type, max(ts) FILTER (event_id % 10 <
 
 def record_page(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("fetched_at"))
-    return stores.page(o, ("1995-06-17 00:00:00", 100), 50)
+    return stores.page(o, 100, 50)
 
 
 def latest_run(spark, sf_dir):
@@ -410,10 +419,7 @@ def label_quality(spark, sf_dir):
     """Precision and recall of a rule (repeated symbols mean low quality) against the labels."""
     d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
     said, true = F.col("text").rlike(r"\*\*\*|!!"), F.col("quality") == 0
-    n = lambda c: F.count_if(c)
-    counts = d.agg(n(said & true).alias("tp"), n(said & ~true).alias("fp"), n(~said & true).alias("fn"), n(~said & ~true).alias("tn"))
-    share = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.round(F.col(a) / (F.col(a) + F.col(b)), 6)).otherwise(1.0)
-    return counts.select("tp", "fp", "fn", "tn", share("tp", "fp").alias("precision"), share("tp", "fn").alias("recall"))
+    return resolve.confusion(d, said, true)
 
 
 def company_assembly(spark, sf_dir):
@@ -459,8 +465,6 @@ ORACLE = {
     "candidate_pairs": PAIRS_SQL,
     "pair_scores": SCORES_SQL,
     "best_candidates": f"SELECT hi, lo, score, confidence FROM (SELECT *, row_number() OVER (PARTITION BY hi ORDER BY score DESC, lo) AS n FROM ({SCORES_SQL}) WHERE confidence <> 'none') WHERE n = 1",
-    "resolved": RESOLVED_SQL,
-    "order_components": COMPONENTS_SQL,
     "merge_chains": "WITH RECURSIVE r(id, root) AS (SELECT c_custkey, c_custkey - 1 FROM customer WHERE c_custkey % 10 > 0 UNION ALL SELECT id, root - 1 FROM r WHERE root % 10 > 0) SELECT id, min(root) AS root FROM r GROUP BY id",
     "semantic_fit": f"SELECT vec_id, round((list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_THESIS_VECTOR}) + 1) / 2, 6) AS semantic FROM embeddings",
     "text_hashes": HASHES_SQL,
@@ -473,7 +477,7 @@ ORACLE = {
     "record_upsert": "SELECT coalesce(a.id, b.id) AS id, event_type, event_id, coalesce(b.value, a.value) AS value, a.id IS NULL AS is_new FROM (SELECT 'old-' || event_id AS id, event_type, event_id, value FROM events WHERE event_id % 3 > 0) a FULL JOIN (SELECT 'new-' || event_id AS id, event_type, event_id, value + 1 AS value FROM events WHERE event_id % 3 < 2) b USING (event_type, event_id)",
     "member_union": "SELECT DISTINCT l_suppkey AS company_id, l_partkey AS source_record_id FROM lineitem",
     "incremental_read": INCREMENTAL_SQL,
-    "record_page": "SELECT o_orderkey AS id, o_orderdate AS fetched_at FROM orders WHERE o_orderdate > TIMESTAMP '1995-06-17' OR (o_orderdate = TIMESTAMP '1995-06-17' AND o_orderkey > 100) ORDER BY 2, 1 LIMIT 50",
+    "record_page": "SELECT o_orderkey AS id, o_orderdate AS fetched_at FROM orders, (SELECT max(o_orderdate) AS mark FROM orders WHERE o_orderkey = 100) WHERE mark IS NULL OR o_orderdate > mark OR (o_orderdate = mark AND o_orderkey > 100) ORDER BY 2, 1 LIMIT 50",
     "latest_run": "SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'completed' ELSE 'partial' END AS status, o_orderdate AS finished_at FROM orders WHERE o_orderstatus IN ('F', 'P') ORDER BY o_orderdate DESC, o_orderkey LIMIT 1",
     "label_quality": r"SELECT *, coalesce(round(tp / nullif(tp + fp, 0), 6), 1) AS precision, coalesce(round(tp / nullif(tp + fn, 0), 6), 1) AS recall FROM (SELECT count(*) FILTER (s AND t) AS tp, count(*) FILTER (s AND NOT t) AS fp, count(*) FILTER (NOT s AND t) AS fn, count(*) FILTER (NOT s AND NOT t) AS tn FROM (SELECT regexp_matches(text, '\*\*\*|!!') AS s, quality = 0 AS t FROM documents JOIN labels USING (doc_id)))",
     "company_assembly": ASSEMBLY_SQL,
