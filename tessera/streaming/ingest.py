@@ -2,9 +2,10 @@
 
 The checkpoint's offsets are the resume cursor of each source; records are
 upserted by (source, source_id) in foreachBatch, so a repeated batch changes
-nothing. The record table is written version beside version: a batch reads the
-last version and writes the next, and a pointer file is never needed because
-the newest complete version (one with _SUCCESS) counts.
+nothing. A batch writes its own rows only, as a numbered change (d1, d2, ...) of the
+record table; a reader merges the changes since the last whole version (v...). After
+COMPACT changes the merged table is written as a whole version. A pointer file is
+never needed, because only complete folders (with _SUCCESS) count.
 """
 
 from __future__ import annotations
@@ -17,29 +18,50 @@ from tessera.schemas import RECORD, struct
 from tessera.sources import stores
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Complete versions below a folder of any file system that Spark knows."""
+COMPACT = 32  # changes that a reader merges at most
+
+
+def versions(spark: SparkSession, root: str, kind: str = "v") -> list[int]:
+    """Numbers of the complete folders of one kind below a folder of any file system that Spark knows."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
     names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    done = [n for n in names if n.startswith(kind) and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
     return sorted(int(n[1:]) for n in done)
 
 
+def _state(spark: SparkSession, root: str) -> tuple[int, list[int]]:
+    """The last whole version (0: none) and the changes since."""
+    whole = max(versions(spark, root), default=0)
+    return whole, [n for n in versions(spark, root, "d") if n > whole]
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    known = versions(spark, root)
-    return spark.read.schema(RECORD).parquet(f"{root}/v{known[-1]}") if known else spark.createDataFrame([], struct(RECORD))
+    """The record table: the last values of each key under the id it first had."""
+    whole, changes = _state(spark, root)
+    read = lambda name: spark.read.schema(RECORD).parquet(f"{root}/{name}")
+    base = read(f"v{whole}") if whole else spark.createDataFrame([], struct(RECORD))
+    if not changes:
+        return base
+    every = base.withColumn("_n", F.lit(whole))
+    for n in changes:
+        every = every.unionByName(read(f"d{n}").withColumn("_n", F.lit(n)))
+    rest = [c for c in base.columns if c not in ("id", "source", "source_id")]
+    merged = every.groupBy("source", "source_id").agg(F.min_by("id", "_n").alias("id"), F.max_by(F.struct(*rest), "_n").alias("x"))
+    return merged.select("id", "source", "source_id", *[F.col(f"x.{c}").alias(c) for c in rest]).select(*base.columns)
 
 
 def upsert_batch(root: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        incoming = stores.latest(batch, ["source", "source_id"], [F.desc("fetched_at"), F.desc("raw")])
-        state = stores.upsert(current(spark, root), incoming, ["source", "source_id"]).drop("is_new")
-        known = versions(spark, root)
-        state.write.mode("overwrite").parquet(f"{root}/v{(known[-1] if known else 0) + 1}")
+        whole, changes = _state(spark, root)
+        last = max([whole, *changes])
+        rows = stores.latest(batch, ["source", "source_id"], [F.desc("fetched_at"), F.desc("raw")])
+        rows.write.mode("overwrite").parquet(f"{root}/d{last + 1}")
+        if len(changes) + 1 >= COMPACT:
+            current(spark, root).write.mode("overwrite").parquet(f"{root}/v{last + 1}")
 
     return write
 

@@ -17,6 +17,7 @@ from tessera.plans import api, pipeline, serve
 from tessera.plans.thesis import parse
 from tessera.schemas import RECORD, WATERMARK, duplicate_domains
 from tessera.sources import limits, mentions, pages, stores
+from tessera.streaming import ingest
 from tests.golden_pairs import PAIRS
 from tests.test_engine import YAML
 from tests.test_pipeline import record
@@ -209,3 +210,17 @@ def test_ranks_and_store_helpers(spark):
     members = spark.createDataFrame([("a", "r1"), ("c", "r2"), ("c", "r1")], "company_id string, source_record_id string")
     roots = spark.createDataFrame([("c", "a")], "id string, root string")
     assert {(r.company_id, r.source_record_id) for r in stores.cluster_members(members, roots).collect()} == {("a", "r1"), ("a", "r2")}
+
+
+def test_changes_are_merged_and_compacted(spark, tmp_path, monkeypatch):
+    """A batch writes its own rows; the first id of a key stays, the last values count, before and after compaction."""
+    monkeypatch.setattr(ingest, "COMPACT", 3)
+    root = str(tmp_path / "records")
+    rows = lambda *keys, day: spark.createDataFrame([(f"{k}-{day}", *record("rss", k, f"n{day}", day=day)[1:]) for k in keys], RECORD)
+    write = ingest.upsert_batch(root)
+    for day, keys in enumerate(("ab", "bc", "a", "d")):
+        write(rows(*keys, day=day), day)
+        assert ingest.versions(spark, root) == ([3] if day >= 2 else [])
+    got = {r.source_id: (r.id, r.extracted.name) for r in ingest.current(spark, root).collect()}
+    assert got == {"a": ("a-0", "n2"), "b": ("b-0", "n1"), "c": ("c-1", "n1"), "d": ("d-3", "n3")}
+    assert ingest.versions(spark, root, "d") == [1, 2, 3, 4]
