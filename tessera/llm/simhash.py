@@ -8,7 +8,10 @@ keyed by their Hamming distance to the parent), and a search follows only edges
 within the radius. All trees of a task are built and searched together, level
 by level. A shard of more than ``most`` fingerprints is dealt into parts, and
 each pair of parts becomes a tree of its own, so no task gets an unbounded
-group and no link is lost. Each shard gives only a spanning forest of its links.
+group and no link is lost. Each shard gives only a spanning forest of its links. A tree
+is built where its shard was dealt and searched there, instead of being broadcast: all
+fingerprints that could link to it are in the shard, and what is broadcast to every
+machine would grow with the table.
 
 Equal fingerprints are merged before anything else. Shingles are of 3 words, as
 the query's contract asks; ``width`` and ``radius`` are parameters.
