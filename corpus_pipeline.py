@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its
 predecessor kept; all but the last return the columns of ``documents``.
+
+Defined results: an empty table gives an empty one in every stage, and extra columns
+are carried (the last stage has columns of its own). A null text is judged as an empty
+one, has no shingles and is a group of its own with other wordless texts, is left null
+by the stages that change texts, and is packed as the closing id alone. A null id goes
+where its text goes; it is kept as a group's document only if the group has no other
+id. Of a row that is there several times near_duplicates keeps one; the other stages
+treat each by itself.
 """
 
 from __future__ import annotations
