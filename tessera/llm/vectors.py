@@ -21,7 +21,9 @@ Every vector is indexed; the tests hold recall against brute force.
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, and vectors with a null id, link with nothing; vectors of different
 lengths never link; repeated rows are rows of their own that link as equal
-vectors do (different vectors that repeat an id share that id's class); an empty table gives an empty result; other columns are not carried.
+vectors do (different vectors that repeat an id share that id's class). Ids are
+numbers, or texts of numbers. An empty table gives an empty result; other columns
+are not carried.
 """
 
 from __future__ import annotations
