@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -41,6 +44,23 @@ def fnv(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fnv1a(t)).astype("Int64")
 
 
+@dataclass(frozen=True)
+class Provider:
+    """A source of embeddings: of a column of texts, and of one text on the driver."""
+
+    id: str
+    dimensions: int
+    column: Callable[[Column], Column]
+    one: Callable[[str], list[float]]
+
+    def __post_init__(self):
+        if self.dimensions != DIMENSIONS:
+            raise ValueError(f"provider {self.id} has {self.dimensions} dimensions, {DIMENSIONS} are needed")
+
+
+DETERMINISTIC = Provider("deterministic", DIMENSIONS, deterministic, lambda text: unit_vectors(np.array([fnv1a(text)], np.uint32))[0].astype(np.float32).tolist())
+
+
 def company_text(name: Column, description: Column, kinds: Column) -> Column:
     """Name, description and distinct signal kinds, joined by '. '."""
     nothing = lambda c: F.nullif(c, F.lit(""))

@@ -97,18 +97,15 @@ def companies(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return own, members, signals
 
 
-def semantic(rows: DataFrame, signals: DataFrame, thesis: Thesis) -> DataFrame:
-    """(company_id, semantic) of the deterministic embeddings."""
+def semantic(rows: DataFrame, signals: DataFrame, thesis: Thesis, provider: embed.Provider = embed.DETERMINISTIC) -> DataFrame:
+    """(company_id, semantic): the provider's embeddings of companies against the thesis's."""
     kinds = signals.groupBy("company_id").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     texts = rows.join(kinds.withColumnRenamed("company_id", "id"), "id", "left").select("id", embed.company_text(F.col("canonical_name"), F.col("description"), F.coalesce("kinds", F.array().cast("array<string>"))).alias("t"))
-    import numpy as np
+    vector = F.array(*[F.lit(float(x)) for x in provider.one(thesis.text)])
+    return texts.select(F.col("id").alias("company_id"), unit_interval(cosine(provider.column(F.col("t")), vector)).alias("semantic"))
 
-    own = embed.unit_vectors(np.array([embed.fnv1a(thesis.text)], np.uint32))[0]
-    vector = F.array(*[F.lit(float(np.float32(x))) for x in own])
-    return texts.select(F.col("id").alias("company_id"), unit_interval(cosine(embed.deterministic("t"), vector)).alias("semantic"))
 
-
-def run(spark: SparkSession, root: str, thesis: Thesis, readers: dict[str, Reader], now: Column, run_id: str | None = None) -> Result:
+def run(spark: SparkSession, root: str, thesis: Thesis, readers: dict[str, Reader], now: Column, run_id: str | None = None, provider: embed.Provider = embed.DETERMINISTIC) -> Result:
     store, run_id = Store(spark, root), run_id or str(uuid.uuid4())
     start = spark.range(1).select(F.lit(run_id).alias("id"), F.lit(thesis.name).alias("thesis_name"), F.lit("running").alias("status"), now.cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), F.lit(None).cast("struct<failed_sources:array<string>>").alias("stats"))
     store.write("runs", store.read("runs", RUN).unionByName(start))
@@ -123,7 +120,7 @@ def run(spark: SparkSession, root: str, thesis: Thesis, readers: dict[str, Reade
         found = store.write("companies", enrich.enrich(found))
         store.write("members", members)
         signals = store.write("signals", signals)
-        stores.replace_run(score.score_companies(found, signals, semantic(found, signals, thesis), thesis, now, run_id), f"{root}/deals")
+        stores.replace_run(score.score_companies(found, signals, semantic(found, signals, thesis, provider), thesis, now, run_id), f"{root}/deals")
     except Exception:
         finish("failed", [])
         raise

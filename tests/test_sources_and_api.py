@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import config
-from tessera.functions import domain, similarity
+from tessera.functions import domain, embed, similarity
 from tessera.functions import text as T
 from tessera.operators import incremental, resolve
 from tessera.plans import api, pipeline, serve
@@ -160,6 +160,22 @@ def test_pages_as_a_data_source(spark, tmp_path):
         read(stop=str(tmp_path / "stop")).collect()
 
 
+def test_malformed_pages_fail_the_read(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"items": [{"id": "not a number", "stargazers_count": []}]}')
+    (tmp_path / "cut.json").write_text('{"hits": [{"objectID": "1"')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ"):
+        mentions.read_repos(spark, str(tmp_path / "bad.json"), F.lit(T0)).collect()
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ"):
+        mentions.read_posts(spark, str(tmp_path / "cut.json"), F.lit(T0)).collect()
+
+
+def test_embedding_providers(spark):
+    with pytest.raises(ValueError, match="384"):
+        embed.Provider("small", 32, embed.deterministic, list)
+    row = spark.createDataFrame([("acme",)], "t string").select(embed.DETERMINISTIC.column(F.col("t")).alias("v")).first()
+    assert row.v == embed.DETERMINISTIC.one("acme")
+
+
 def test_config():
     assert config.load({}) == config.Config() and config.load({"PORT": "80", "GITHUB_TOKEN": "x"}).port == 80
     with pytest.raises(config.ConfigError, match="LOG_LEVEL.*PORT.*GITHUB_TOKEN"):
