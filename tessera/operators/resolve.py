@@ -4,14 +4,16 @@ Batch resolution is the design for scale: keys are exploded and equi-joined,
 pairs are scored in one projection, pairs above the merge floor become edges of
 connected components. All items that share a key are compared, as the semantics
 ask. A key of many items is dealt into parts, and each pair of parts is joined by
-itself, so no task holds a whole common key; a pair is listed only under the first
-of the keys that it shares, so no list of repeated pairs has to be made distinct.
+itself, so no task holds a whole common key; pairs that share several keys are made
+distinct on the map side first.
 ``most`` is an option for tables with very common keys that leaves keys of more items
 out of the pairing (equal names and domains still meet).
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ UNCERTAIN_FLAG = "merge_incierto"
 PRECEDENCE = ["github", "rss", "hackernews"]
 MAX_HOPS = 25
 PART = 2048  # items of a key that meet in one part
+PER_TASK = 4_000_000  # pairs that a task lists
 
 
 # --- blocking --------------------------------------------------------------------
@@ -50,14 +53,15 @@ def candidate_pairs(keys: DataFrame, part: int = PART) -> DataFrame:
     the two orders in which two parts meet only one is kept.
     """
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    every = keys.groupBy("id").agg(F.collect_list(F.xxhash64("key")).alias("keys"))  # as many as an item's name has letters
-    own = keys.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / part).cast("int")).join(every, "id")
+    own = keys.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / part).cast("int"))
     own = own.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    parts = F.sequence(F.lit(0), F.col("parts") - 1)
-    side = lambda name, p, q: own.select("key", F.col("id").alias(name), F.col("keys").alias(f"{name}_keys"), F.explode(parts).alias("x"), "own").select("key", name, f"{name}_keys", F.col("own" if p else "x").alias("p"), F.col("x" if p else "own").alias("q"))
-    both = side("lo", True, False).join(side("hi", False, True), ["key", "p", "q"]).where("lo < hi")
-    first = F.array_min(F.array_intersect("lo_keys", "hi_keys"))
-    return both.where(first == F.xxhash64("key")).select("lo", "hi")
+    conf = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(conf, ceil((sizes.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0) / PER_TASK))
+    dealt = own.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    left = dealt.select("key", F.col("id").alias("lo"), F.col("own").alias("p"), F.col("other").alias("q"))
+    right = dealt.select("key", F.col("id").alias("hi"), F.col("other").alias("p"), F.col("own").alias("q"))
+    on = ["key", "p", "q"]  # a stated number of tasks, since few rows make many pairs
+    return left.repartition(tasks, *on).join(right.repartition(tasks, *on), on).where("lo < hi").select("lo", "hi").distinct()
 
 
 def selective(keys: DataFrame, most: int) -> DataFrame:
