@@ -20,13 +20,15 @@ unless they have the name of an added one.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField
 
 from tessera.llm.blocks import map_blocks
-from tessera.llm.spans import find, joined
+from tessera.llm.spans import find, joined, let
 from tessera.store import table
 
 # Fixed forms: assign, access and hex are
@@ -68,7 +70,9 @@ def kind_candidates(text: Column, kind: str) -> Column:
 
 
 def hinted(text: Column) -> Column:
-    return F.coalesce(text.rlike(HINT), F.lit(False))
+    """Whether HINT stands in the text; it is looked for only where a plain search finds what each of its forms needs."""
+    some = let(F.lower(text), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")]))
+    return F.coalesce((some | text.contains("AKIA") | text.rlike("[A-Za-z0-9_-]{24}")) & text.rlike(HINT), F.lit(False))
 
 
 def candidates(text: Column) -> Column:
@@ -105,10 +109,11 @@ def all_spans(secrets: Column) -> Column:
 
 def mask(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
     """``docs`` with base and live spans replaced by MASK; texts without a candidate are not shuffled."""
-    _, secrets = judged(docs, doc_id, text, owner, repo, most_owners, most_repos)
-    secrets = secrets.select("_sid", "_st", all_spans(F.col("secrets")).alias("_spans"))
     has = hinted(F.col(text))
-    dirty = docs.where(has).withColumn("_t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    some = table(docs.where(has), "hinted")
+    _, secrets = judged(some, doc_id, text, owner, repo, most_owners, most_repos)
+    secrets = secrets.select("_sid", "_st", all_spans(F.col("secrets")).alias("_spans"))
+    dirty = some.withColumn("_t", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     dirty = dirty.join(secrets, F.col(doc_id).eqNullSafe(F.col("_sid")) & (F.col("_t") == F.col("_st")), "left").drop("_sid", "_st", "_t")
 
     def work(block: pa.RecordBatch) -> dict:
