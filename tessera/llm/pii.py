@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.spans import find, joined
+from tessera.llm.spans import find, joined, let
 
 # Each pattern finds what the plain one finds but starts only where a match can
 # start, with possessive repeats, so that long runs cost linear time:
@@ -42,6 +42,8 @@ CONTEXT = {
 }
 REACH = 40  # characters before a span in which context words count
 BOOST = 0.1
+BLOCK = 1024  # characters of a block of text
+SCORED = "array<struct<kind:string,start:int,end:int,hit:string,score:double>>"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
 
@@ -80,15 +82,26 @@ def confirmed(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
+def before(blocks: Column, start: Column) -> Column:
+    """Up to REACH characters before a place, from the text's blocks: a place far into a long text costs no more than a near one."""
+    at = F.floor(start / BLOCK).cast("int")
+    near = F.concat(F.when(at > 0, F.get(blocks, at - 1)).otherwise(""), F.coalesce(F.get(blocks, at), F.lit("")))
+    place = start - F.greatest(at - 1, F.lit(0)) * BLOCK
+    return F.substring(near, F.greatest(F.lit(1), place + 1 - REACH), F.least(F.lit(REACH), place))
+
+
 def kind_spans(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind, each scored with the words before it."""
 
-    def scored(s: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - REACH), F.least(F.lit(REACH), s["start"]))
-        boost = F.when(before.rlike(CONTEXT[kind]), BOOST).otherwise(0.0)
+    def scored(s: Column, blocks: Column) -> Column:
+        boost = F.when(before(blocks, s["start"]).rlike(CONTEXT[kind]), BOOST).otherwise(0.0)
         return F.struct(s["kind"], s["start"], s["end"], s["hit"], (F.lit(SCORES[kind]) + boost).alias("score"))
 
-    return F.transform(F.filter(find(text, kind, PATTERNS[kind]), lambda s: confirmed(kind, s["hit"])), scored)
+    def told(found: Column) -> Column:
+        blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+        return F.when(F.size(found) > 0, let(blocks, lambda b: F.transform(found, lambda s: scored(s, b)))).otherwise(F.array().cast(SCORED))
+
+    return let(F.filter(find(text, kind, PATTERNS[kind]), lambda s: confirmed(kind, s["hit"])), told)
 
 
 def spans(text: Column) -> Column:

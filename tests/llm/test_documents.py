@@ -254,9 +254,9 @@ def test_secret_in_many_repositories_is_an_example(spark):
 
 
 def test_context_raises_scores(spark):
-    rows = [(1, "my phone +49 30 123456789"), (2, "num +49 30 123456789"), (3, "card 4111111111111111 and 10.0.0.1")]
+    rows = [(1, "my phone +49 30 123456789"), (2, "num +49 30 123456789"), (3, "card 4111111111111111 and 10.0.0.1"), (4, "😀" * 1010 + " my phone +49 30 123456789"), (5, "my phone " + "😀" * 3000 + " +49 30 123456789")]
     got = {r.doc_id: r.scores for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: "70", 2: "60", 3: "80,60"}
+    assert got == {1: "70", 2: "60", 3: "80,60", 4: "70", 5: "60"}
 
 
 # --- near copies -----------------------------------------------------------------------

@@ -143,7 +143,7 @@ def test_long_texts_and_clashing_names(spark, long_docs):
     assert pii.find_pii(docs).count() == 3
     assert {r.n_assign for r in secrets.digest(docs).collect()} == {8000, 0}
     assert decontaminate.digest(docs, bench).where("n_hit > 0").count() == 1
-    assert decontaminate.scan(docs, bench, part_bytes=8).where("size(items) = 1").count() == 1
+    assert decontaminate.scan(docs, bench, part_bytes=32).where("size(items) = 1").count() == 1
     assert Counter(r.component_id for r in simhash.digest(docs).collect()) == {1: 1, 2: 1, 3: 1}
     removed = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.digest(docs).collect()}
     assert removed[1][0] == 43 * 8000 and removed[1][1] > 40 * 7999 and removed[2] == (1, 0) and removed[3] == (0, 0)
