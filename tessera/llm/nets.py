@@ -219,22 +219,13 @@ class WordNet:
             at = ends - i
             z[at[(at >= 0) & (at < len(z))]] = 0
 
-    def features(self, bucket: np.ndarray, room: np.ndarray):
-        x = self.p["e"][bucket].reshape(len(bucket), -1)
-        begin = np.cumsum(room) - room
-        parts, kept = [], []
-        for w in self.WIDTHS:
-            cells = np.concatenate([x[i : len(x) - w + 1 + i] for i in range(w)], 1) if w > 1 else x
-            z = np.maximum(cells @ self.p[f"k{w}"] + self.p[f"b{w}"], 0)
-            self.own_places(z, np.cumsum(room), w)
-            parts.append(np.maximum.reduceat(z, begin, axis=0))
-            kept.append((cells, z))
-        return np.concatenate(parts, 1), kept
+    def tops(self, prepared: tuple[np.ndarray, ...], at: dict[int, np.ndarray] | None = None) -> np.ndarray:
+        """Each filter's largest answer in each document; filters run over SLICE words at a time, however long a text is.
 
-    def logits(self, prepared: tuple[np.ndarray, ...]) -> np.ndarray:
-        """Documents' scores before the sigmoid; filters run over SLICE words at a time, however long a text is."""
+        ``at`` takes, by width, the first place of each answer above 0.
+        """
         bucket, room = prepared
-        top = np.zeros((len(room), len(self.WIDTHS) * self.FILTERS), np.float32)
+        top = np.zeros((len(room), len(self.WIDTHS) * self.FILTERS), np.result_type(self.p["e"], np.float32))
         ends, spare = np.cumsum(room), max(self.WIDTHS) - 1
         for a in range(0, len(bucket), self.SLICE):
             b = min(a + self.SLICE, len(bucket))
@@ -245,45 +236,56 @@ class WordNet:
                 n = min(b - a, len(x) - w + 1)  # the last places of all texts stand after the last word
                 if n <= 0:
                     continue
-                cells = np.concatenate([x[j : n + j] for j in range(w)], 1)
+                cells = np.concatenate([x[j : n + j] for j in range(w)], 1) if w > 1 else x[:n]
                 z = np.maximum(cells @ self.p[f"k{w}"] + self.p[f"b{w}"], 0)
                 self.own_places(z, ends[docs] - a, w)
                 some = begin < n
                 own = (docs[some], slice(i * self.FILTERS, (i + 1) * self.FILTERS))
-                top[own] = np.maximum(top[own], np.maximum.reduceat(z, begin[some], axis=0))
-        return top @ self.p["v"] + self.p["c"][0]
+                found = np.maximum.reduceat(z, begin[some], axis=0)
+                if at is not None:
+                    # what an earlier slice has reached stays with its place
+                    new = np.where(found > top[own], found, np.inf)
+                    place, f = np.nonzero(z == np.repeat(new, np.diff(np.r_[begin[some], n]), axis=0))
+                    doc = np.searchsorted(ends, place + a, "right")
+                    at[w][doc[::-1], f[::-1]] = place[::-1] + a  # of equal answers the first is written last
+                top[own] = np.maximum(top[own], found)
+        return top
+
+    def logits(self, prepared: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Documents' scores before the sigmoid."""
+        return self.tops(prepared) @ self.p["v"] + self.p["c"][0]
 
     def gradients(self, prepared: tuple[np.ndarray, ...], y: np.ndarray) -> dict[str, np.ndarray]:
+        """Answers that tie belong, but for collisions, to equal words; the first stands for them."""
         bucket, room = prepared
-        f, kept = self.features(bucket, room)
-        d = ((sigmoid(f @ self.p["v"] + self.p["c"][0]) - y) / len(y)).astype(np.float32)
-        g = {"v": f.T @ d + 1e-4 * self.p["v"], "c": d.sum(keepdims=True), "e": np.zeros_like(self.p["e"])}
-        doc = np.repeat(np.arange(len(room)), room)
+        at = {w: np.zeros((len(room), self.FILTERS), np.int64) for w in self.WIDTHS}
+        top = self.tops(prepared, at)
+        d = ((sigmoid(top @ self.p["v"] + self.p["c"][0]) - y) / len(y)).astype(np.float32)
+        g = {"v": top.T @ d + 1e-4 * self.p["v"], "c": d.sum(keepdims=True), "e": np.zeros_like(self.p["e"])}
         for i, w in enumerate(self.WIDTHS):
-            cells, z = kept[i]
             own = slice(i * self.FILTERS, (i + 1) * self.FILTERS)
-            best = z == f[doc[: len(z)], own]  # answers that tie share the gradient
-            df = d[:, None] * self.p["v"][own] / np.add.reduceat(best, np.cumsum(room) - room, axis=0, dtype=np.float32)
-            dz = np.where((z > 0) & best, df[doc[: len(z)]], 0)
+            doc, f = np.nonzero(top[:, own])
+            words_at = bucket[at[w][doc, f][:, None] + np.arange(w)]
+            dz = np.zeros((len(doc), self.FILTERS), np.float32)
+            dz[np.arange(len(doc)), f] = d[doc] * self.p["v"][own][f]
+            cells = self.p["e"][words_at].reshape(len(doc), -1)
             g[f"k{w}"], g[f"b{w}"] = cells.T @ dz + 1e-4 * self.p[f"k{w}"], dz.sum(0)
-            used = np.flatnonzero(dz.any(1))
-            dx = (dz[used] @ self.p[f"k{w}"].T).reshape(len(used), w, self.PARTS, self.DIM)
-            for j in range(w):
-                np.add.at(g["e"], bucket[used + j], dx[:, j])
+            dx = (dz @ self.p[f"k{w}"].T).reshape(*words_at.shape, self.DIM)
+            np.add.at(g["e"], words_at, dx)
         g["e"][self.BUCKETS] = 0
         return g
 
 
-def platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and offset that make sigmoid(a * logit + b) a probability on these rows."""
+def platt(logits: np.ndarray, y: np.ndarray, n: np.ndarray | int = 1) -> tuple[float, float]:
+    """Slope and offset that make sigmoid(a * logit + b) a probability on these rows, each there ``n`` times."""
     a, b = 1.0, 0.0
     if not len(y):
         return a, b
     for _ in range(50):
         p = sigmoid(a * logits + b)
-        w = p * (1 - p) + 1e-6
+        w = n * (p * (1 - p) + 1e-6)
         h = np.array([[(w * logits * logits).sum() + 1, (w * logits).sum()], [(w * logits).sum(), w.sum() + 1]])
-        step = np.linalg.solve(h, [((y - p) * logits).sum() - (a - 1), (y - p).sum() - b])
+        step = np.linalg.solve(h, [(n * (y - p) * logits).sum() - (a - 1), (n * (y - p)).sum() - b])
         a, b = a + step[0], b + step[1]
         if np.abs(step).max() < 1e-6:
             break

@@ -32,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and read back from reliable checkpoint files."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    out.stored_at = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+    return out
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
@@ -60,7 +62,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def spent(*tables: DataFrame) -> None:
-    """Deletes the files of tables made by :func:`table` that no later plan reads."""
+    """Deletes the files of tables made by :func:`table` or :func:`cut` that no later plan reads."""
     for one in tables:
         _delete(one.sparkSession, one.stored_at)
 

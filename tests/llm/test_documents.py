@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import classify, decontaminate, nets, pack, pii, secrets, shard, simhash, substrings, words
 
@@ -624,6 +625,16 @@ def test_gradients_against_differences(kind):
         assert abs((steps[0] - steps[1]) / 2e-3 - (g[at] - decay)) < 0.1 * abs(g[at]) + 1e-4, name
 
 
+def test_gradients_of_sliced_texts(monkeypatch):
+    net = nets.WordNet()
+    docs = net.prepare(*words.utf8(pa.array(["some words of a text", "", "others " * 30, "a longer text, word after word, and word after text " * 5])))
+    y = np.array([1.0, 0.0, 1.0, 0.0], np.float32)
+    whole = net.gradients(docs, y)
+    monkeypatch.setattr(nets.WordNet, "SLICE", 8)
+    for name, g in net.gradients(docs, y).items():
+        assert np.allclose(g, whole[name], rtol=1e-4, atol=1e-7), name
+
+
 def test_training_sample_is_bounded(spark):
     """Rows of a repeated id count once, long texts and the held-out fold not at all."""
     docs = spark.createDataFrame([(i % 40, f"text {i}", "en") for i in range(400)] + [(100, "x" * 5000, "en")], "doc_id long, text string, lang string")
@@ -633,6 +644,30 @@ def test_training_sample_is_bounded(spark):
     assert len(ids) == len(set(ids)) <= 20 and all(zlib.crc32(k.encode()) % 5 for k in ids)
 
 
+def test_toxicity_learns_from_every_row(spark):
+    """What only long texts, or only rows late in any order of ids, can teach is learned; the order of rows does not matter."""
+    ids = spark.range(12000).withColumnRenamed("id", "doc_id").where((classify.fold("doc_id") != 0)).orderBy(F.xxhash64("doc_id"), "doc_id")
+    late = {r.doc_id for r in ids.collect()[8000:]}
+    plain = "some plain words of a quiet text number "
+    texts = [(i, plain + str(i) + (" gribbly" if i in late and i % 2 else ""), "en") for i in range(12000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.contains("text", F.lit("gribbly")).cast("int").alias("toxic"))
+    rows, parts = classify.dealt(docs, labels, "toxic", 4000, 1 << 26, "doc_id", "text", "lang")
+    assert rows.rdd.getNumPartitions() == parts == 3 and {r.k for r in rows.select("k").collect()} == {str(r.doc_id) for r in ids.collect()}
+    model, _ = classify.train_toxicity(docs, labels, visits=2000)
+    probe = pa.array([plain + "gribbly", plain])
+    assert (model.score(probe) >= classify.TOXIC_AT).tolist() == [True, False]
+    again, _ = classify.train_toxicity(docs.repartition(7), labels, visits=2000)
+    assert again.score(probe).tolist() == model.score(probe).tolist()
+
+    long = "words of a quiet text " * 3500  # 77,000 bytes
+    docs = spark.createDataFrame([(i, ("gribbly " + long) if i % 2 else plain, "en") for i in range(60)], docs.schema)
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    for parts in (1, 3):
+        model, _ = classify.train_toxicity(docs, labels, part_bytes=-(-2_500_000 // parts), visits=2000)
+        assert (model.score(pa.array(["gribbly " + long, plain])) >= classify.TOXIC_AT).tolist() == [True, False]
+
+
 def test_classifiers(spark, docs, rows, empty):
     """Accuracy on documents of the held-out fold alone, of a table that is not part of the training."""
     base, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
